@@ -14,6 +14,16 @@ SEGMENT_MAPPING = [
     ("household", "other"),
 ]
 
+def line_key():
+    """Identity of a line item by all its columns, as it has no unique key."""
+    cents = [F.round(F.col(c) * 100).cast("bigint") for c in ("l_extendedprice", "l_discount", "l_tax")]
+    return F.md5(
+        F.concat_ws(
+            "|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"), *cents,
+            "l_returnflag", "l_linestatus", F.date_format("l_shipdate", "yyyyMMdd"),
+        )
+    )
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,6 +59,7 @@ def ad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(c("l_returnflag") == "R", c("l_extendedprice")).otherwise(0.0).alias("conversion_value"),
         F.date_format(day, "yyyyMMdd").alias("dt"),
         c("l_linenumber").alias("line_number"),
+        line_key().alias("row_key"),
     )
 
 
