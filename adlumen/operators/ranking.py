@@ -18,6 +18,8 @@ from adlumen.sources.session import checkpointed
 BUCKETS = 1024
 # Below this many rows per group the built-in percentile aggregate is used.
 SMALL_GROUP = 1_000_000
+# Candidates few enough, over all ranges together, to be sorted.
+SORT_ROWS = 1_000_000
 # Ranges broadcast to all tasks; more than this many are joined by shuffle.
 MAX_BROADCAST_RANGES = 100_000
 
@@ -61,10 +63,13 @@ def _in_ranges(data: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
     return out.select(*by, "v", F.explode(inside).alias("_r")).select(*by, "v", "_r.lo", "_r.hi", "_r.below")
 
 
-def values_at_ranks(df: DataFrame, value: str, targets: DataFrame, by: list[str] = ()) -> DataFrame:
+def values_at_ranks(
+    df: DataFrame, value: str, targets: DataFrame, by: list[str] = (), sort_rows: int = SORT_ROWS
+) -> DataFrame:
     """``value`` at each 0-based ``rank`` of ``targets(by..., rank)``.
 
-    Nulls do not count.  Ranks outside a group give no row.
+    Nulls do not count.  Ranks outside a group give no row.  Narrowing ends
+    when at most ``sort_rows`` candidates are left, which are then sorted.
     """
     by = list(by)
     integral = isinstance(df.schema[value].dataType, IntegralType)
@@ -76,14 +81,22 @@ def values_at_ranks(df: DataFrame, value: str, targets: DataFrame, by: list[str]
         state = wanted.join(F.broadcast(span) if not by else span, _null_safe(wanted, span, by))
         state = checkpointed(
             state.filter((F.col("rank") >= 0) & (F.col("rank") < F.col("n"))).select(
-                *[wanted[k] for k in by], "rank", "lo", "hi", F.lit(0).cast("bigint").alias("below")
+                *[wanted[k] for k in by], "rank", "lo", "hi", F.lit(0).cast("bigint").alias("below"), "n"
             )
         )
         while True:
             pending = state.filter(F.col("lo") < F.col("hi"))
-            if pending.isEmpty():
+            candidates = pending.select(*by, "lo", "hi", "n").distinct().agg(F.sum("n")).first()[0]
+            if candidates is None:
                 return state.select(*by, "rank", F.col("lo").alias("value"))
+            found = state.filter(F.col("lo") >= F.col("hi"))
             rows = _in_ranges(data, pending, by)
+            if candidates <= sort_rows:
+                place = F.row_number().over(Window.partitionBy(*by, "lo", "hi").orderBy("v")) - 1 + F.col("below")
+                ranked = rows.withColumn("place", place)
+                at = _null_safe(pending, ranked, [*by, "lo", "hi"]) & (pending["rank"] == ranked["place"])
+                last = pending.join(ranked, at).select(*[pending[k] for k in by], pending["rank"], ranked["v"].alias("value"))
+                return checkpointed(found.select(*by, "rank", F.col("lo").alias("value")).unionByName(last))
             bucket = _bucket(F.col("v"), F.col("lo"), F.col("hi"), integral)
             counts = rows.groupBy(*by, "lo", "hi", "below", bucket.alias("bucket")).agg(
                 F.count("*").alias("n"), F.min("v").alias("first"), F.max("v").alias("last")
@@ -93,9 +106,9 @@ def values_at_ranks(df: DataFrame, value: str, targets: DataFrame, by: list[str]
             hit = (pending["rank"] >= counts["start"]) & (pending["rank"] < counts["start"] + counts["n"])
             narrowed = pending.join(counts, _null_safe(pending, counts, [*by, "lo", "hi"]) & hit).select(
                 *[pending[k] for k in by], "rank", F.col("first").alias("lo"), F.col("last").alias("hi"),
-                F.col("start").alias("below"),
+                F.col("start").alias("below"), counts["n"],
             )
-            state = checkpointed(state.filter(F.col("lo") >= F.col("hi")).unionByName(narrowed))
+            state = checkpointed(found.unionByName(narrowed))
     finally:
         data.unpersist()
 
@@ -126,7 +139,7 @@ def quantiles(
         )
     at = sizes.select(*keys, F.explode(prob_list).alias("prob"), "n").withColumn("position", (F.col("n") - 1) * F.col("prob"))
     targets = at.select(*keys, F.explode(F.array(F.floor("position"), F.ceil("position"))).alias("rank"))
-    found = values_at_ranks(rows, "v", targets, keys)
+    found = values_at_ranks(rows, "v", targets, keys, sort_rows=small)
     low, high = found.withColumnsRenamed({"rank": "r0", "value": "v0"}), found.withColumnsRenamed({"rank": "r1", "value": "v1"})
     out = at.join(low, _null_safe(at, low, keys) & (F.floor(at["position"]) == low["r0"])).select(at["*"], "v0")
     out = out.join(high, _null_safe(out, high, keys) & (F.ceil(out["position"]) == high["r1"])).select(out["*"], "v1")
