@@ -350,9 +350,10 @@ def join_semi(spark, sf):
     return orders.join(listed, orders["o_custkey"] == listed["c_custkey"], "left_semi").select("o_orderkey", "o_custkey")
 
 
-@query("""SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+@query("""SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')""")
 def join_anti(spark, sf):
-    customers, orders = table(spark, sf, "customer"), table(spark, sf, "orders")
+    customers = table(spark, sf, "customer")
+    orders = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
     return customers.join(orders, customers["c_custkey"] == orders["o_custkey"], "left_anti").select("c_custkey", "c_name")
 
 
