@@ -13,22 +13,15 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import IntegralType
 
-from adlumen.sources.session import checkpointed
+from adlumen.operators.joins import null_safe_join
+from adlumen.sources.session import checkpointed, small_side
 
 BUCKETS = 1024
-# Below this many rows per group the built-in percentile aggregate is used.
+# Up to this many rows per group the built-in percentile aggregate is used; its
+# table of distinct values then stays within about 100 MB.
 SMALL_GROUP = 1_000_000
 # Candidates few enough, over all ranges together, to be sorted.
-SORT_ROWS = 1_000_000
-# Ranges broadcast to all tasks; more than this many are joined by shuffle.
-MAX_BROADCAST_RANGES = 100_000
-
-
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]):
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+SORT_ROWS = 100_000
 
 
 def _bucket(v: Column, lo: Column, hi: Column, integral: bool) -> Column:
@@ -56,13 +49,16 @@ def _in_ranges(data: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
         out = data.withColumn("_all", F.array(*found))
     else:
         per_group = ranges.groupBy(*by).agg(F.collect_set(F.struct("lo", "hi", "below")).alias("_all"))
-        if ranges.count() <= MAX_BROADCAST_RANGES:
-            per_group = F.broadcast(per_group)
-        out = data.join(per_group, _null_safe(data, per_group, by)).select(data["*"], "_all")
+        out = null_safe_join(data, small_side(per_group), by)
     inside = F.filter("_all", lambda r: (F.col("v") >= r["lo"]) & (F.col("v") <= r["hi"]))
     return out.select(*by, "v", F.explode(inside).alias("_r")).select(*by, "v", "_r.lo", "_r.hi", "_r.below")
 
 
+def _span(data: DataFrame, by: list[str]) -> DataFrame:
+    """Range and size of every group."""
+    return checkpointed(data.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")))
+
+
 def values_at_ranks(
     df: DataFrame, value: str, targets: DataFrame, by: list[str] = (), sort_rows: int = SORT_ROWS
 ) -> DataFrame:
@@ -76,43 +72,47 @@ def values_at_ranks(
     data = df.select(*by, F.col(value).cast("bigint" if integral else "double").alias("v")).filter(F.col("v").isNotNull())
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        span = data.groupBy(*by).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-        wanted = targets.select(*by, F.col("rank").cast("bigint").alias("rank")).distinct()
-        state = wanted.join(F.broadcast(span) if not by else span, _null_safe(wanted, span, by))
-        state = checkpointed(
-            state.filter((F.col("rank") >= 0) & (F.col("rank") < F.col("n"))).select(
-                *[wanted[k] for k in by], "rank", "lo", "hi", F.lit(0).cast("bigint").alias("below"), "n"
-            )
-        )
-        while True:
-            pending = state.filter(F.col("lo") < F.col("hi"))
-            candidates = pending.select(*by, "lo", "hi", "n").distinct().agg(F.sum("n")).first()[0]
-            if candidates is None:
-                return state.select(*by, "rank", F.col("lo").alias("value"))
-            found = state.filter(F.col("lo") >= F.col("hi"))
-            rows = _in_ranges(data, pending, by)
-            if candidates <= sort_rows:
-                place = F.row_number().over(Window.partitionBy(*by, "lo", "hi").orderBy("v")) - 1 + F.col("below")
-                ranked = rows.withColumn("place", place)
-                at = _null_safe(pending, ranked, [*by, "lo", "hi"]) & (pending["rank"] == ranked["place"])
-                last = pending.join(ranked, at).select(*[pending[k] for k in by], pending["rank"], ranked["v"].alias("value"))
-                return checkpointed(found.select(*by, "rank", F.col("lo").alias("value")).unionByName(last))
-            bucket = _bucket(F.col("v"), F.col("lo"), F.col("hi"), integral)
-            counts = rows.groupBy(*by, "lo", "hi", "below", bucket.alias("bucket")).agg(
-                F.count("*").alias("n"), F.min("v").alias("first"), F.max("v").alias("last")
-            )
-            before = Window.partitionBy(*by, "lo", "hi").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-            counts = counts.withColumn("start", F.col("below") + F.coalesce(F.sum("n").over(before), F.lit(0)))
-            hit = (pending["rank"] >= counts["start"]) & (pending["rank"] < counts["start"] + counts["n"])
-            narrowed = pending.join(counts, _null_safe(pending, counts, [*by, "lo", "hi"]) & hit).select(
-                *[pending[k] for k in by], "rank", F.col("first").alias("lo"), F.col("last").alias("hi"),
-                F.col("start").alias("below"), counts["n"],
-            )
-            state = checkpointed(found.unionByName(narrowed))
+        return _search(data, _span(data, by), targets, by, integral, sort_rows)
     finally:
         data.unpersist()
 
 
+def _search(data: DataFrame, span: DataFrame, targets: DataFrame, by: list[str], integral: bool, sort_rows: int) -> DataFrame:
+    wanted = targets.select(*by, F.col("rank").cast("bigint").alias("rank")).distinct()
+    # Without groups the span is a single row.
+    state = null_safe_join(wanted, small_side(span), by) if by else wanted.join(F.broadcast(span))
+    state = checkpointed(
+        state.filter((F.col("rank") >= 0) & (F.col("rank") < F.col("n"))).select(
+            *by, "rank", "lo", "hi", F.lit(0).cast("bigint").alias("below"), "n"
+        )
+    )
+    ranges = [*by, "lo", "hi"]
+    while True:
+        pending = state.filter(F.col("lo") < F.col("hi"))
+        candidates = pending.select(*by, "lo", "hi", "n").distinct().agg(F.sum("n")).first()[0]
+        if candidates is None:
+            return state.select(*by, "rank", F.col("lo").alias("value"))
+        found = state.filter(F.col("lo") >= F.col("hi"))
+        rows = _in_ranges(data, pending, by)
+        if candidates <= sort_rows:
+            place = F.row_number().over(Window.partitionBy(*ranges).orderBy("v")) - 1 + F.col("below")
+            ranked = rows.withColumn("place", place)
+            placed = ranked.select(*ranges, F.col("place").alias("rank"), F.col("v").alias("value"))
+            last = null_safe_join(pending, placed, [*ranges, "rank"]).select(*by, "rank", "value")
+            return checkpointed(found.select(*by, "rank", F.col("lo").alias("value")).unionByName(last))
+        bucket = _bucket(F.col("v"), F.col("lo"), F.col("hi"), integral)
+        counts = rows.groupBy(*by, "lo", "hi", "below", bucket.alias("bucket")).agg(
+            F.count("*").alias("n"), F.min("v").alias("first"), F.max("v").alias("last")
+        )
+        before = Window.partitionBy(*ranges).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("start", F.col("below") + F.coalesce(F.sum("n").over(before), F.lit(0)))
+        hit = (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("n"))
+        narrowed = null_safe_join(pending.drop("below", "n"), counts.drop("below"), ranges).filter(hit).select(
+            *by, "rank", F.col("first").alias("lo"), F.col("last").alias("hi"), F.col("start").alias("below"), "n"
+        )
+        state = checkpointed(found.unionByName(narrowed))
+
+
 def _long_form(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns])
     return df.select(*by, F.explode(cells).alias("_c")).select(*by, "_c.column", "_c.v").filter("v IS NOT NULL")
@@ -127,23 +127,25 @@ def quantiles(
     grows with distinct values; larger ones are narrowed.
     """
     by = list(by)
-    rows = _long_form(df, columns, by)
     keys = [*by, "column"]
-    sizes = checkpointed(rows.groupBy(*keys).agg(F.count("*").alias("n")))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
+    rows = _long_form(df, columns, by).persist(StorageLevel.MEMORY_AND_DISK)
     prob_list = F.array(*[F.lit(float(p)) for p in probs])
-    if largest <= small:
-        out = rows.groupBy(*keys).agg(F.percentile("v", prob_list).alias("values"))
-        return out.select(*keys, F.explode(F.arrays_zip(prob_list.alias("prob"), F.col("values").alias("value"))).alias("_q")).select(
-            *keys, "_q.prob", "_q.value"
-        )
-    at = sizes.select(*keys, F.explode(prob_list).alias("prob"), "n").withColumn("position", (F.col("n") - 1) * F.col("prob"))
-    targets = at.select(*keys, F.explode(F.array(F.floor("position"), F.ceil("position"))).alias("rank"))
-    found = values_at_ranks(rows, "v", targets, keys, sort_rows=small)
-    low, high = found.withColumnsRenamed({"rank": "r0", "value": "v0"}), found.withColumnsRenamed({"rank": "r1", "value": "v1"})
-    out = at.join(low, _null_safe(at, low, keys) & (F.floor(at["position"]) == low["r0"])).select(at["*"], "v0")
-    out = out.join(high, _null_safe(out, high, keys) & (F.ceil(out["position"]) == high["r1"])).select(out["*"], "v1")
-    return out.select(*keys, "prob", (F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("position") - F.floor("position"))).alias("value"))
+    try:
+        span = _span(rows, keys)
+        if (span.agg(F.max("n")).first()[0] or 0) <= small:
+            out = rows.groupBy(*keys).agg(F.percentile("v", prob_list).alias("values"))
+            pairs = F.arrays_zip(prob_list.alias("prob"), F.col("values").alias("value"))
+            return checkpointed(out.select(*keys, F.explode(pairs).alias("_q")).select(*keys, "_q.prob", "_q.value"))
+        at = span.select(*keys, F.explode(prob_list).alias("prob"), "n").withColumn("position", (F.col("n") - 1) * F.col("prob"))
+        targets = at.select(*keys, F.explode(F.array(F.floor("position"), F.ceil("position"))).alias("rank"))
+        found = _search(rows, span, targets, keys, False, small)
+    finally:
+        rows.unpersist()
+    out = at.withColumns({"r0": F.floor("position"), "r1": F.ceil("position")})
+    for i in ("0", "1"):
+        out = null_safe_join(out, found.withColumnsRenamed({"rank": f"r{i}", "value": f"v{i}"}), [*keys, f"r{i}"])
+    share = F.col("position") - F.floor("position")
+    return out.select(*keys, "prob", (F.col("v0") + (F.col("v1") - F.col("v0")) * share).alias("value"))
 
 
 def hash_number(key: Column, seed: int = 42) -> Column:

@@ -8,6 +8,7 @@ from adlumen import names
 from adlumen.functions import classify as kw
 from adlumen.operators import columns, dedupe, encode, masks, outlier, scale, split
 from adlumen.plans.features import ad_features
+from adlumen.sources.session import checkpointed
 from adlumen.sources.stages import StageStore
 
 FIT_ROWS = 100_000
@@ -17,7 +18,8 @@ def remove_outliers(df: DataFrame, contamination: float = 0.1, fit_rows: int = F
     """Drop the outliers of a forest fitted on a hash sample of ``fit_rows``."""
     features = scale.numeric_columns(df, exclude=names.LOG_TARGETS)
     keyed = df.withColumn("_key", columns.row_key(df.columns))
-    sample = split.exact_sample(keyed, fit_rows, "_key", seed)
+    # Read twice: to grow the trees and to place the cut.
+    sample = checkpointed(split.exact_sample(keyed, fit_rows, "_key", seed))
     flagged = outlier.sample_fitted_outliers(keyed, sample, features, "_key", contamination, n_trees, seed=seed)
     return masks.inliers(flagged).select(*df.columns)
 
@@ -59,8 +61,6 @@ def two_pass_outliers(
 
     Returns the combined mask and the rows that pass both.
     """
-    from adlumen.sources.session import checkpointed
-
     group = "business_type"
     matrix, features = scale.feature_matrix(df, by=[group], keep=[key])
     first = outlier.forest_outliers(

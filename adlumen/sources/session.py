@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+MAX_BROADCAST_ROWS = 100_000
 
 
 def local_session(cpus: int | str = 8, name: str = "adlumen", memory: str = "16g") -> SparkSession:
@@ -44,6 +46,16 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
+def small_side(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a frame after counting that it is small, else leave it.
+
+    For frames that are cheap to count: checkpointed ones, or a few rows per
+    group.  The other side of the join then needs no shuffle, however its rows
+    are spread over the keys.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir():
