@@ -79,8 +79,12 @@ def values_at_ranks(
 
 def _search(data: DataFrame, span: DataFrame, targets: DataFrame, by: list[str], integral: bool, sort_rows: int) -> DataFrame:
     wanted = targets.select(*by, F.col("rank").cast("bigint").alias("rank")).distinct()
-    # Without groups the span is a single row.
-    state = null_safe_join(wanted, small_side(span), by) if by else wanted.join(F.broadcast(span))
+    if by:
+        state = null_safe_join(wanted, small_side(span), by)
+    else:
+        whole = span.first()  # one row
+        kind = "bigint" if integral else "double"
+        state = wanted.withColumns({c: F.lit(whole[c]).cast(kind) for c in ("lo", "hi")}).withColumn("n", F.lit(whole["n"]))
     state = checkpointed(
         state.filter((F.col("rank") >= 0) & (F.col("rank") < F.col("n"))).select(
             *by, "rank", "lo", "hi", F.lit(0).cast("bigint").alias("below"), "n"
