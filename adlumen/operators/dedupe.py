@@ -27,10 +27,14 @@ def first_per_key(df: DataFrame, key: list[str], order_by: list[str] | None = No
     return df.withColumn("_rank", F.row_number().over(window)).filter("_rank = 1").drop("_rank")
 
 
-def new_rows(batch: DataFrame, seen_keys: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Distinct rows of a batch whose key is not in ``seen_keys(row_key)``."""
+def keyed_rows(batch: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Distinct rows of a batch with their ``row_key``."""
     columns = columns or batch.columns
-    keyed = batch.dropDuplicates(columns).withColumn("row_key", row_key(columns))
+    return batch.dropDuplicates(columns).withColumn("row_key", row_key(columns))
+
+
+def new_rows(keyed: DataFrame, seen_keys: DataFrame) -> DataFrame:
+    """Rows whose key is not in ``seen_keys(row_key)``."""
     return keyed.join(seen_keys.select("row_key"), "row_key", "left_anti")
 
 

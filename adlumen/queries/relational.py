@@ -200,7 +200,7 @@ def dedupe_incremental(spark, sf):
     batch = ad_rows_with_copies(spark, sf).filter("dt >= '19960101'").select(F.col("row_key").alias("row_id"), "campaign_id")
     earlier = ad_rows(spark, sf).filter("line_number <= 2").select(F.col("row_key").alias("row_id"), "campaign_id")
     seen = earlier.select(columns.row_key(["row_id"]).alias("row_key"))
-    return dedupe.new_rows(batch, seen, ["row_id"]).drop("row_key")
+    return dedupe.new_rows(dedupe.keyed_rows(batch, ["row_id"]), seen).drop("row_key")
 
 
 # --------------------------------------------------------------------- roll-up

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from adlumen.operators.dedupe import new_rows
+from adlumen.operators.dedupe import keyed_rows, new_rows
+from adlumen.sources.session import small_side
 
 
 def append_new_rows(batch: DataFrame, batch_id: int, rows: str, keys: str, columns: list[str] | None = None) -> None:
@@ -24,12 +25,17 @@ def append_new_rows(batch: DataFrame, batch_id: int, rows: str, keys: str, colum
     # The folder exists from the first batch on.
     spark.createDataFrame([], "row_key string").write.mode("overwrite").parquet(f"{keys}/batch=-1")
     seen = spark.read.schema(schema).parquet(keys).filter(f"batch < {int(batch_id)}")
-    fresh = new_rows(batch, seen, columns).persist()
+    keyed = keyed_rows(batch, columns).persist()
+    # The history grows without end, so it is filtered by the batch and not
+    # shuffled: only keys that occur in the batch go on.
+    known = seen.join(small_side(keyed.select("row_key")), "row_key", "left_semi")
+    fresh = new_rows(keyed, known).persist()
     try:
         fresh.drop("row_key").write.mode("overwrite").option("compression", "zstd").parquet(f"{rows}/batch={batch_id}")
         fresh.select("row_key").write.mode("overwrite").parquet(f"{keys}/batch={batch_id}")
     finally:
         fresh.unpersist()
+        keyed.unpersist()
 
 
 def dedupe_new_files(

@@ -102,6 +102,18 @@ def test_feature_table_has_no_shuffle(spark):
         features.ad_features(raw.drop("clicks"), MAPPING)
 
 
+def test_labels_by_distinct_name(spark):
+    from adlumen.functions.classify import classify
+    from adlumen.operators.joins import label_distinct
+
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(["my shop", "home", None, "shopping", "my shop"])], "i int, p string")
+    want = {tuple(r) for r in df.select("i", classify(F.col("p"), MAPPING).alias("t")).collect()}
+    for bound in (100, 2):
+        got = label_distinct(df, F.col("p"), MAPPING, "t", max_names=bound)
+        assert {(r["i"], r["t"]) for r in got.collect()} == want
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_masks(spark):
     ids = spark.createDataFrame([(1,), (2,), (3,)], "id int")
     first = spark.createDataFrame([(1, True), (2, False)], "id int, is_outlier_gw boolean")
