@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from adlumen.llm import partenum
+from adlumen.llm import bucketsort, partenum
 from adlumen.llm.sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,3 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op8_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked by a Jaccard similarity of 0.75 or more of their five-word shingles."""
     return partenum.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@register
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of each document without the strings of 50 bytes that start in a smaller document too."""
+    kept = bucketsort.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
