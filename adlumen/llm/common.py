@@ -43,8 +43,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucket_count(df: DataFrame, column: str, mb: int = 16) -> int:
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of a size fit for long texts; by default a batch has 10,000 rows however long they are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
+def bucket_count(df: DataFrame, column: str, mb: int = 8) -> int:
     """Buckets of about ``mb`` MB of text, at least one for each shuffle partition."""
+    small_batches(df.sparkSession)
     total = df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / (mb << 20)))
 

@@ -29,7 +29,7 @@ from adlumen.llm.common import U, bucket_count, components, dealt, gram_hashes,
 
 N2, K2 = 3, 1
 ELEMENTS = -1
-FLUSH = 1_500_000
+FLUSH = 600_000
 # Classes of which texts are fetched by a broadcast list; beyond, the list is joined by shuffle.
 LISTED = 200_000
 
@@ -256,8 +256,8 @@ def jaccard_components(
     one and are not yet in the same component.  Before that, a class that shares fewer signatures than any partner
     would leave it (``least``) is dropped: it can't link.
     """
-    classes = stored(shingled(docs, words, id_column, text_column))
     buckets = bucket_count(docs, text_column)
+    classes = stored(shingled(docs, words, id_column, text_column))
     groups = stored(shared(signed(docs, words, threshold, buckets, text_column)))
     able = (
         groups.groupBy("member", "band").agg(F.sum("weight").alias("n"), F.min("least").alias("least")).filter("n >= least").select("member", "band")
