@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from adlumen.llm import bucketsort, packing, partenum
+from adlumen.llm import bucketsort, packing, partenum, suffixtree
 from adlumen.llm.sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,9 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of each document without the strings of 50 bytes that start in a smaller document too."""
     kept = bucketsort.without_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of all documents by the suffix tree and by unigrams of words."""
+    return suffixtree.scored(table(spark, sf_dir, "documents"))
