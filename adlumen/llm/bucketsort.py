@@ -6,8 +6,8 @@ A string of ``WINDOW`` bytes is repeated if it also starts in a document with a
    have equal anchors at equal places, so suffixes are dealt by their anchor's q-gram, about one entry for 18 bytes.  An
    entry stands for the run of windows that share the anchor, and holds the hash of the run's text.  In a bucket of one
    q-gram, runs with equal text are settled at once: all but those of the smallest document repeat.
-2. *Refinement.*  Where a bucket has runs of different texts, one of each text is cut from the documents and all its
-   suffixes are sorted: by their first 8 bytes, then by pairs of bucket identifiers at offsets 8, 16 and 18, each pass
+2. *Refinement.*  Where a bucket has runs of different texts, it is refined by the identifiers of the longer strings at
+   either side of the anchor.  What is then left together is cut from the documents, and all its suffixes are sorted: by their first 8 bytes, then by pairs of bucket identifiers at offsets 8, 16 and 18, each pass
    using the identifiers the pass before has left, until a bucket is one string of 50 bytes.  Every task settles what
    repeats among its own runs; the first of each string goes on to a grouping by its hash.
 3. *Spans.*  The windows found are merged per document into spans of bytes.
@@ -27,6 +27,10 @@ from pyspark.sql import DataFrame, functions as F
 from adlumen.llm.common import U, bucket_count, dealt, mixed, packed_ids, prefix_hash, range_hash, stored, unpacked_ids
 
 WINDOW, Q = 50, 16
+# Windows that start at least HALF + 1 bytes before their anchor hold the bytes from there to the end of its q-gram,
+# the others hold Q + HALF bytes from the anchor on.
+HALF = (WINDOW - Q) // 2
+SIDE = (1 << 24) - 1
 PIECE = 1 << 18
 BLOCK = 1 << 19
 PLACE = 20
@@ -34,15 +38,19 @@ FLUSH = 700_000
 NOBODY = np.iinfo(np.int64).max
 # Spans and runs of documents are sent to all tasks up to this many bytes, else joined by shuffle.
 BROADCAST_BYTES = 48 << 20
-_ENTRY = "bucket int, gram binary, text binary, doc binary, uid binary, start binary, run binary"
+_ENTRY = "bucket int, gram binary, text binary, left binary, right binary, doc binary, uid binary, start binary, run binary"
 _FOUND = "ubucket int, uid binary, start binary, run binary"
 
 
 def runs_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor in pieces laid end to end: first window, windows, q-gram hash, hash of the text."""
+    """Runs of windows with one anchor in pieces laid end to end.
+
+    First window, windows, hash of the anchor's q-gram, hash of the text, and 24-bit identifiers of the longer strings to
+    the left and right of the anchor that some of the windows hold (0: none does).
+    """
     n = len(data)
     if n < WINDOW:
-        return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=U),) * 2
+        return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=U),) * 4
     words = np.ndarray(shape=(n - 7,), dtype="<u8", buffer=data, strides=(1,))
     gram = mixed(mixed(words[: n - Q + 1]) + words[8 : n - Q + 9])
     key = (gram & ~U((1 << PLACE) - 1)) | np.arange(len(gram), dtype=U)
@@ -59,12 +67,27 @@ def runs_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     np.add.at(inside, ends[long] - WINDOW + 1, -1)
     window = np.flatnonzero(np.cumsum(inside)[: len(least)])
     if not len(window):
-        return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=U),) * 2
+        return (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=U),) * 4
     anchor = (least[window] & U((1 << PLACE) - 1)).astype(np.int64)
     at = np.flatnonzero(np.diff(anchor, prepend=-1))
     first, count, anchor = window[at], np.diff(np.append(at, len(window))), anchor[at]
-    text = range_hash(prefix_hash(data), first, first + count - 1 + WINDOW)
-    return first, count, gram[anchor], mixed(text + (anchor - first).astype(U) * U(0x9E3779B97F4A7C15))
+    prefix = prefix_hash(data)
+    text = range_hash(prefix, first, first + count - 1 + WINDOW)
+    to_left, to_right = anchor - first > HALF, anchor - (first + count - 1) <= HALF
+    left = range_hash(prefix, np.maximum(anchor - HALF - 1, 0), anchor + Q) % U(SIDE) + U(1)
+    right = range_hash(prefix, anchor, np.minimum(anchor + Q + HALF, n)) % U(SIDE) + U(1)
+    text = mixed(text + (anchor - first).astype(U) * U(0x9E3779B97F4A7C15))
+    return first, count, gram[anchor], text, np.where(to_left, left, U(0)), np.where(to_right, right, U(0))
+
+
+def packed_sides(x: np.ndarray) -> bytes:
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+
+def unpacked_sides(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 3, 4), dtype=np.uint8)
+    out[:, :3] = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 3)
+    return out.view("<u4").ravel().astype(U)
 
 
 def pieces(text: bytes) -> Iterator[tuple[int, bytes]]:
@@ -89,25 +112,26 @@ def _entries(rows: DataFrame, buckets: int) -> DataFrame:
         def settle() -> int:
             data = np.frombuffer(b"".join(b for *_, b in block), dtype=np.uint8)
             ends = np.cumsum([len(b) for *_, b in block])
-            first, windows, gram, text = runs_of(data, ends)
+            first, windows, gram, text, left, right = runs_of(data, ends)
             which = np.searchsorted(ends, first, side="right")
             doc, uid, place = (np.array([b[i] for b in block], dtype=np.int64)[which] for i in range(3))
             base = np.concatenate(([0], ends[:-1]))[which]
-            held.append((gram, text, doc, uid, first - base + place, windows))
+            held.append((gram, text, left, right, doc, uid, first - base + place, windows))
             block.clear()
             return len(first)
 
         def flush() -> pa.RecordBatch:
-            gram, text, doc, uid, start, windows = (np.concatenate(x) for x in zip(*held))
+            gram, text, left, right, doc, uid, start, windows = (np.concatenate(x) for x in zip(*held))
             held.clear()
             bucket = (gram % U(buckets)).astype(np.int64)
             rows = [
-                (b, g.astype("<u4").tobytes(), t.tobytes(), packed_ids(d), packed_ids(u), packed_ids(s), w.astype(np.uint8).tobytes())
-                for b, (g, t, d, u, s, w) in dealt(bucket, [gram >> U(32), text, doc, uid, start, windows])
+                (b, g.astype("<u4").tobytes(), t.tobytes(), packed_sides(x), packed_sides(y), packed_ids(d), packed_ids(u), packed_ids(s), w.astype(np.uint8).tobytes())
+                for b, (g, t, x, y, d, u, s, w) in dealt(bucket, [gram >> U(32), text, left, right, doc, uid, start, windows])
             ]
-            kinds = [pa.int32()] + [pa.binary()] * 6
+            kinds = [pa.int32()] + [pa.binary()] * 8
             return pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["bucket", "gram", "text", "doc", "uid", "start", "run"]
+                [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
+                names=["bucket", "gram", "text", "left", "right", "doc", "uid", "start", "run"],
             )
 
         for batch in batches:
@@ -160,15 +184,21 @@ def _settled(entries: DataFrame, buckets: int) -> DataFrame:
             several[order] = np.concatenate((same, [False])) | np.concatenate(([False], same))
         doc, uid, start = (np.concatenate([unpacked_ids(x) for x in pdf[c]])[several] for c in ("doc", "uid", "start"))
         windows = np.concatenate([np.frombuffer(x, dtype=np.uint8) for x in pdf["run"]])[several]
+        left, right = (np.concatenate([unpacked_sides(x) for x in pdf[c]])[several] for c in ("left", "right"))
         gram, text = gram[several], text[several]
         order = np.lexsort((doc, text, gram))
-        gram, text, doc, uid, start, windows = (x[order] for x in (gram, text, doc, uid, start, windows))
-        least = _least(text, doc)
-        repeats = doc > least
+        gram, text, left, right, doc, uid, start, windows = (x[order] for x in (gram, text, left, right, doc, uid, start, windows))
+        repeats = doc > _least(text, doc)
         out = [_found(uid[repeats], start[repeats], windows[repeats], buckets)]
-        # Runs of one q-gram with different texts, in different documents: one of each text is to be refined.
-        first, last = _least(gram, doc), -_least(gram, -doc)
-        apart = ~repeats & (_least(gram, text) != ~_least(gram, ~text)) & (first != last)
+        # The buckets are refined by the identifiers on either side of the anchor.  What is still in one bucket with
+        # another text of another document is to be refined to the full length.
+        gram, text, left, right, doc, uid, start, windows = (x[~repeats] for x in (gram, text, left, right, doc, uid, start, windows))
+        apart = np.zeros(len(gram), dtype=bool)
+        for side in (left, right):
+            finer = gram.astype(U) << U(24) | side
+            order = np.argsort(finer)
+            f, t, d = finer[order], text[order], doc[order]
+            apart[order] |= (side[order] > 0) & (_least(f, t) != ~_least(f, ~t)) & (_least(f, d) != -_least(f, -d))
         more = _found(uid[apart], start[apart], windows[apart], buckets)
         more["ubucket"] = -1 - more["ubucket"]
         return pd.concat([*out, more], ignore_index=True)
