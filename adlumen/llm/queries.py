@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from adlumen.llm import bucketsort, packing, partenum, suffixtree
+from adlumen.llm import bucketsort, packing, partenum, quality, suffixtree
 from adlumen.llm.sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@register
+def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by boosted trees."""
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def public_tokenizer() -> tuple[str, str, str]:
     import public_tokenizers as public
 
