@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from adlumen.llm import bucketsort, packing, partenum, quality, suffixtree
+from adlumen.llm import bucketsort, covertree, packing, partenum, quality, suffixtree
 from adlumen.llm.sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,12 @@ def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@register
+def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors with a cosine of 0.9 or more."""
+    return covertree.near_pairs(table(spark, sf_dir, "embeddings"))
+
+
 def public_tokenizer() -> tuple[str, str, str]:
     import public_tokenizers as public
 
