@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from adlumen.llm import bucketsort, covertree, packing, partenum, quality, suffixtree
+from adlumen.llm import bucketsort, covertree, packing, partenum, quality, suffixtree, warc
 from adlumen.llm.sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@register
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all pages, written to archives and read back."""
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+
+
 @register
 def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents by boosted trees."""

@@ -1,14 +1,27 @@
 """DuckDB SQL of the queries that SQL can express."""
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_WORDS = rf"list_filter(string_split_regex({_LOWER.format('coalesce(text, ' + repr('') + ')')}, '[\x20\t\n\v\f\r]+'), w -> w <> '')"
+_WORDS = rf"list_filter(string_split_regex({_LOWER.format('coalesce(text, ' + repr('') + ')')}, '[\x20\t\n\v\f\r]+'), lambda w: w <> '')"
 
 SQL: dict[str, str] = {
+    "op1_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, unhex(sha1(b))::BIT::VARCHAR AS bits FROM p),
+e AS (
+  SELECT page_id, payload_bytes,
+    list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + list_sum(list_transform(range(5), lambda j: CAST(substr(bits, CAST(5 * i + j + 1 AS BIGINT), 1) AS INTEGER) * CAST(pow(2, 4 - j) AS INTEGER)))::BIGINT, 1)),
+      'string_agg', '') AS payload_digest
+  FROM d),
+f AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM e)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to, TRUE AS verified
+FROM f""",
     "op8_partenum_join": rf"""
 WITH RECURSIVE words AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
 sets AS MATERIALIZED (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) END AS s FROM words),
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM words),
 classes AS MATERIALIZED (SELECT min(doc_id) AS c, list_sort(s) AS s, list(doc_id) AS ids FROM sets GROUP BY 2),
 items AS MATERIALIZED (SELECT c, len(s) AS n, unnest(s) AS e FROM classes),
 pairs AS MATERIALIZED (
