@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from adlumen.llm import bucketsort, covertree, packing, partenum, quality, suffixtree, warc
+from adlumen.llm import bucketsort, covertree, decontaminate, packing, partenum, quality, suffixtree, warc
 from adlumen.llm.sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,13 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
 
 
+@register
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold text of the benchmark, and of which items."""
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_windows", "first_token", F.round("overlap", 6).alias("overlap"))
+
+
 @register
 def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents by boosted trees."""

@@ -3,6 +3,10 @@
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"list_filter(string_split_regex({_LOWER.format('coalesce(text, ' + repr('') + ')')}, '[\x20\t\n\v\f\r]+'), lambda w: w <> '')"
 
+_TOKENS = r"string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+')"
+# The masks of the spaced seeds as places from 0.
+_MASK_PLACES = "[0,1,2,4,6,7,10], [0,1,3,6,7,8,10], [0,2,3,5,8,9,10]"
+
 SQL: dict[str, str] = {
     "op1_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
@@ -17,6 +21,28 @@ f AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM e)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to, TRUE AS verified
 FROM f""",
+    "op2_decontamination": f"""
+WITH items AS MATERIALIZED (
+  SELECT min(item_id) AS item_id, w, len(w) AS n FROM (SELECT item_id, list_filter({_TOKENS}, lambda x: x <> '') AS w FROM benchmark)
+  WHERE len(w) >= 8 GROUP BY w),
+masks AS (SELECT unnest([{_MASK_PLACES}]) AS mask, 11 AS span UNION ALL SELECT range(n), n FROM (SELECT DISTINCT n FROM items WHERE n < 11)),
+item_seeds AS (
+  SELECT item_id, w, n, mask, p, list_transform(mask, lambda i: w[1 + p + i]) AS seed
+  FROM (SELECT i.*, m.mask, unnest(range(n - span + 1)) AS p FROM items i JOIN masks m ON CASE WHEN n < 11 THEN span = n ELSE span = 11 END)),
+windows AS MATERIALIZED (
+  SELECT mask, seed, p - f AS back, w[f + 1 : f + least(20, n)] AS win, min(item_id) AS item_id
+  FROM (SELECT *, least(greatest(p - 4, 0), n - least(20, n)) AS f FROM item_seeds) GROUP BY ALL),
+docs AS MATERIALIZED (SELECT doc_id, {_TOKENS} AS w FROM documents),
+hits AS (
+  SELECT d.doc_id, d.w, x.p, x.mask, list_transform(x.mask, lambda i: d.w[1 + x.p + i]) AS seed
+  FROM (SELECT doc_id, mask, unnest(range(len(w) - span + 1)) AS p FROM docs, masks WHERE len(w) >= span) x JOIN docs d USING (doc_id)),
+checked AS (
+  SELECT doc_id, item_id, p - back AS first_token,
+    list_sum(list_transform(range(1, len(win) + 1), lambda i: CAST(win[i] = h.w[p - back + i] AS INTEGER))) / len(win) AS overlap
+  FROM hits h JOIN windows v ON h.mask = v.mask AND h.seed = v.seed
+  WHERE p - back >= 0 AND p - back + len(win) <= len(h.w))
+SELECT doc_id, item_id, count(DISTINCT first_token) AS n_windows, min(first_token) AS first_token, round(max(overlap), 6) AS overlap
+FROM checked WHERE overlap >= 0.8 GROUP BY doc_id, item_id""",
     "op8_partenum_join": rf"""
 WITH RECURSIVE words AS MATERIALIZED (SELECT doc_id, {_WORDS} AS w FROM documents),
 sets AS MATERIALIZED (
