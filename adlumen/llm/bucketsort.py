@@ -257,12 +257,14 @@ def refine(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _refined(cut: DataFrame, buckets: int) -> DataFrame:
-    """What repeats among the runs of a task (``_FOUND``), and the rest one row per string: ``string, doc, uid, start``."""
+    """What repeats among the runs (``_FOUND``).
 
-    schema = pa.schema(
-        [("ubucket", pa.int32()), ("uid", pa.binary()), ("start", pa.binary()), ("run", pa.binary()),
-         ("string", pa.int64()), ("doc", pa.int64()), ("u", pa.int64()), ("s", pa.int64())]
-    )
+    A task settles what repeats among its own; of each string, only the places in its smallest document go on, dealt by
+    the string's hash, so a string that a third of all documents hold comes from each task once.
+    """
+
+    kinds = [pa.int32()] + [pa.binary()] * 5
+    names = ["bucket", "uid", "start", "run", "string", "doc"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, bytes]] = []
@@ -281,11 +283,11 @@ def _refined(cut: DataFrame, buckets: int) -> DataFrame:
             bucket, doc, uid, start, string = (x[order] for x in (bucket, doc, uid, start, string))
             repeats = doc > _least(bucket, doc)
             found = _found(uid[repeats], start[repeats], np.ones(int(repeats.sum()), dtype=np.int64), buckets)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found[c], k) for c, k in zip(found, schema.types)] + [pa.nulls(len(found), pa.int64())] * 4, schema=schema
-            )
-            rest = [pa.array(x[~repeats]) for x in (string, doc, uid, start)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(rest[0]), k) for k in schema.types[:4]] + rest, schema=schema)
+            rows = [(*r, None, None) for r in found.itertuples(index=False, name=None)]
+            rest = [x[~repeats] for x in (string, doc, uid, start)]
+            for b, (x, d, u, s) in dealt((rest[0].astype(U) % U(buckets)).astype(np.int64), rest):
+                rows.append((b, packed_ids(u), packed_ids(s), None, x.tobytes(), packed_ids(d)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
         for batch in batches:
             for doc, uid, text, starts, counts in zip(*(batch.column(i).to_pylist() for i in range(5))):
@@ -299,7 +301,20 @@ def _refined(cut: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield from settle()
 
-    return cut.mapInArrow(run, _FOUND + ", string long, doc long, u long, s long")
+    def later(pdf: pd.DataFrame) -> pd.DataFrame:
+        rest = pdf["string"].notna()
+        known = pdf.loc[~rest, ["bucket", "uid", "start", "run"]].rename(columns={"bucket": "ubucket"})
+        if not rest.any():
+            return known
+        string = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in pdf["string"][rest]])
+        doc, uid, start = (np.concatenate([unpacked_ids(x) for x in pdf[c][rest]]) for c in ("doc", "uid", "start"))
+        order = np.lexsort((doc, string))
+        string, doc, uid, start = (x[order] for x in (string, doc, uid, start))
+        repeats = doc > _least(string, doc)
+        return pd.concat([known, _found(uid[repeats], start[repeats], np.ones(int(repeats.sum()), dtype=np.int64), buckets)], ignore_index=True)
+
+    made = cut.mapInArrow(run, "bucket int, uid binary, start binary, run binary, string binary, doc binary")
+    return made.groupBy("bucket").applyInPandas(later, _FOUND)
 
 
 def _light(df: DataFrame) -> DataFrame:
@@ -314,16 +329,8 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     buckets = bucket_count(docs, text_column)
     settled = stored(_settled(_entries(rows, buckets), buckets))
     wanted = stored(_per_row(settled.filter("ubucket < 0"), merge=False))
-    refined = stored(_refined(rows.join(_light(wanted), "uid").select("doc", "uid", "text", "starts", "counts"), buckets))
-    strings = refined.filter("string is not null").select("string", "doc", "u", "s")
-    first = strings.groupBy("string").agg(F.min("doc").alias("first"))
-
-    def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield _found(pdf["u"].to_numpy(), pdf["s"].to_numpy(), np.ones(len(pdf), dtype=np.int64), buckets)
-
-    late = strings.join(first, "string").filter("doc > first").select("u", "s").mapInPandas(gathered, _FOUND)
-    every = settled.filter("ubucket >= 0").unionByName(refined.filter("string is null").select("ubucket", "uid", "start", "run")).unionByName(late)
+    refined = _refined(rows.join(_light(wanted), "uid").select("doc", "uid", "text", "starts", "counts"), buckets)
+    every = settled.filter("ubucket >= 0").unionByName(refined)
     return stored(_per_row(every, merge=True))
 
 
