@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from adlumen.llm import bucketsort, covertree, decontaminate, packing, partenum, quality, suffixtree, warc
+from adlumen.llm import bucketsort, covertree, decontaminate, packing, partenum, quality, sanitize, suffixtree, warc
 from adlumen.llm.sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,13 @@ def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_pairs(table(spark, sf_dir, "embeddings"))
 
 
+@register
+def op4_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, and the terms that reveal it."""
+    found = sanitize.marked(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_term")
+
+
 def public_tokenizer() -> tuple[str, str, str]:
     import public_tokenizers as public
 
