@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from adlumen.llm import bucketsort, covertree, decontaminate, packing, partenum, quality, sanitize, suffixtree, warc
+from adlumen.llm import bucketsort, chaining, covertree, decontaminate, packing, partenum, quality, sanitize, suffixtree, warc
 from adlumen.llm.sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,12 @@ def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@register
+def op5_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that a smaller document has too, edits allowed."""
+    return chaining.passages(table(spark, sf_dir, "documents"))
+
+
 @register
 def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors with a cosine of 0.9 or more."""
