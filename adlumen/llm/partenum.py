@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from adlumen.llm.common import U, bucket_count, components, dealt, gram_hashes, mixed, packed_ids, scratch, stored, unpacked_ids, word_hashes
 
@@ -102,21 +102,28 @@ def _texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def _uid(docs: DataFrame, id_column: str, text_column: str) -> Column:
+    return F.xxhash64(docs[id_column].cast("long"), F.coalesce(docs[text_column].cast("string"), F.lit("")))
+
+
 def shingled(docs: DataFrame, words: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, class_id`` per row; equal sets have one class, the empty set has class null."""
+    """``doc_id, uid, n_shingles, class_id`` per row; equal sets have one class, the empty set has class null.
+
+    ``uid`` names a row's id and text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = shingle_sets(_texts(part.column(1)), words)
+                sets = shingle_sets(_texts(part.column(2)), words)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())],
-                    names=["doc_id", "n_shingles", "class_id"],
+                    [*part.columns[:2], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())],
+                    names=["doc_id", "uid", "n_shingles", "class_id"],
                 )
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, class_id long")
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), _uid(docs, id_column, text_column).alias("uid"), F.col(text_column).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, uid long, n_shingles long, class_id long")
 
 
 def signed(docs: DataFrame, words: int, threshold: Fraction, buckets: int, text_column: str) -> DataFrame:
@@ -219,12 +226,15 @@ def linked(pairs: DataFrame, texts: DataFrame, words: int, threshold: Fraction)
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _listed(ids: DataFrame) -> DataFrame:
+    """Broadcast a list of ids after counting it, else leave the join to a shuffle."""
+    return F.broadcast(ids) if ids.limit(LISTED + 1).count() <= LISTED else ids
+
+
 def class_texts(classes: DataFrame, needed: DataFrame, docs: DataFrame, id_column: str, text_column: str, words: int) -> DataFrame:
     """``class_id, text`` of one document of each needed class."""
     wanted = stored(classes.join(needed, "class_id", "left_semi").groupBy("class_id").agg(F.min("doc_id").alias("doc_id")))
-    listed = wanted.select("doc_id").distinct()
-    if listed.limit(LISTED + 1).count() <= LISTED:
-        listed = F.broadcast(listed)
+    listed = _listed(wanted.select("doc_id").distinct())
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(0))).join(
         listed.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id")), "doc_id", "left_semi"
@@ -242,10 +252,17 @@ def class_texts(classes: DataFrame, needed: DataFrame, docs: DataFrame, id_colum
     return found.join(wanted.select("class_id"), "class_id", "left_semi").dropDuplicates(["class_id"])
 
 
-def jaccard_components(
+def jaccard_components(docs: DataFrame, **options) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row: see :func:`joined`."""
+    return joined(docs, **options).select("doc_id", "n_shingles", "component_id")
+
+
+def joined(
     docs: DataFrame, words: int = 5, threshold: Fraction = Fraction(3, 4), id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row: components of the documents linked by J >= ``threshold``.
+    """``doc_id, uid, n_shingles, root, component_id`` for every row: components of documents linked by J >= ``threshold``.
+
+    ``root`` names the component (null without words), ``component_id`` is its smallest ``doc_id``.
 
     A row without words has an empty set, no link and itself as component.  Rows with equal ids count as documents of
     their own, each with its text; a null id is kept, and never is the smallest of a component that has another.
@@ -282,30 +299,34 @@ def jaccard_components(
     ends = late.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
         roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left"
     )
-    joined = components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    across = components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
     final = stored(
         classes.filter("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("least"))
         .join(roots.select(F.col("node").alias("class_id"), F.col("root").alias("r1")), "class_id", "left")
         .withColumn("r1", F.coalesce("r1", "class_id"))
-        .join(joined.select(F.col("node").alias("r1"), F.col("root").alias("r2")), "r1", "left")
+        .join(across.select(F.col("node").alias("r1"), F.col("root").alias("r2")), "r1", "left")
         .select("class_id", "least", F.coalesce("r2", "r1").alias("r"))
     )
     smallest = final.groupBy("r").agg(F.min("least").alias("component_id"))
-    by_class = final.join(smallest, "r").select("class_id", "component_id")
-    return classes.join(by_class, "class_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    by_class = final.join(smallest, "r").select("class_id", F.col("r").alias("root"), "component_id")
+    out = classes.join(by_class, "class_id", "left")
+    return out.select("doc_id", "uid", "n_shingles", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, with one document of each group of near duplicates: the smallest ``doc_id``.
+    """The rows of ``docs``, all columns, with one row of each group of near duplicates: that with the smallest id.
 
-    Of rows that repeat that id in one group one stays; rows without words all stay.
+    Rows without words are in no group and all stay.  Of rows alike in id and text one stays; of rows that share the
+    smallest id with different texts, the one with the smaller hash.  A null id is the largest.
     """
-    id_column, text_column = options.get("id_column", "doc_id"), options.get("text_column", "text")
-    groups = stored(jaccard_components(docs, **options))
-    gone = groups.filter("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    again = groups.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_again"))
-    rows = docs.join(gone, docs[id_column] == gone["_gone"], "left_anti")
-    some = F.col(id_column).isNotNull()
-    single = rows.join(again, rows[id_column] == again["_again"], "left_anti") 
-    double = rows.filter(some).join(again, rows[id_column] == again["_again"], "left_semi").dropDuplicates([id_column, text_column])
-    return single.unionByName(double)
+    found = stored(joined(docs, **options).filter("root is not null"))
+    rank = F.struct(F.coalesce("doc_id", F.lit(np.iinfo(np.int64).max)).alias("doc_id"), "uid")
+    first = found.groupBy("root").agg(F.min(rank).alias("first")).select("root", F.col("first.uid").alias("first"))
+    gone = stored(found.join(first, "root").filter("uid != first").select(F.col("uid").alias("_uid")).distinct())
+    again = stored(found.groupBy("uid").count().filter("count > 1").select(F.col("uid").alias("_uid")))
+    uid = _uid(docs, options.get("id_column", "doc_id"), options.get("text_column", "text"))
+    rows = docs.join(_listed(gone), uid == gone["_uid"], "left_anti")
+    if again.isEmpty():
+        return rows
+    alike = rows.join(_listed(again), uid == again["_uid"]).dropDuplicates(["_uid"]).drop("_uid")
+    return rows.join(_listed(again), uid == again["_uid"], "left_anti").unionByName(alike)
