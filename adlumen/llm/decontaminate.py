@@ -11,6 +11,8 @@ A benchmark grows with the number of tests, not with the corpus.  Its seeds are
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from adlumen.llm.common import stored
@@ -23,6 +25,8 @@ SHARE = 0.8
 # Shorter items say too little to be told from ordinary text.
 LEAST_TOKENS = 8
 BROADCAST_SEEDS = 250_000
+# Documents with hits of which the ids are broadcast to fetch their texts; beyond, the join shuffles.
+LISTED = 200_000
 
 
 def tokens(text: Column) -> Column:
@@ -34,21 +38,23 @@ def _hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seed(tag: str, mask: str, h: str, at: str) -> str:
-    chosen = ", ".join(f"{h}[{at} + {i}]" for i, bit in enumerate(mask) if bit == "1")
-    return f"xxhash64('{tag}', {chosen})"
+def _seed(mask: str) -> Callable[[Column], Column]:
+    chosen = [i for i, bit in enumerate(mask) if bit == "1"]
+    return lambda p: F.xxhash64(F.lit(mask), *[F.get("h", p + i) for i in chosen])
 
 
 def _seeds(rows: DataFrame, masks: list[str]) -> DataFrame:
-    """A row per position and mask of frames with ``h``: ``p`` (from 0) and ``seed``.
+    """A row per position and mask for rows with ``h``: ``p`` (from 0) and ``seed``; ``h`` itself is not carried along.
 
-    Masks of full span are tried together; whole-item masks, being shorter, fit at more positions.
+    Masks of equal length are tried together; whole-item masks, being shorter, fit at more positions.
     """
     out = None
+    rest = [c for c in rows.columns if c != "h"]
     for length in sorted({len(m) for m in masks}):
-        group = [m for m in masks if len(m) == length]
-        each = rows.filter(F.size("h") >= length).withColumn("p", F.explode(F.expr(f"sequence(0, size(h) - {length})")))
-        each = each.withColumn("seed", F.explode(F.array(*[F.expr(_seed(m, m, "h", "p")) for m in group])))
+        places = F.sequence(F.lit(0), F.size("h") - length)
+        every = F.flatten(F.array(*[F.transform(places, _seed(m)) for m in masks if len(m) == length]))
+        each = rows.filter(F.size("h") >= length).select(*rest, (F.size("h") - length + 1).alias("n"), F.posexplode(every).alias("at", "seed"))
+        each = each.select(*rest, (F.col("at") % F.col("n")).alias("p"), "seed")
         out = each if out is None else out.unionByName(each)
     return out
 
@@ -65,13 +71,13 @@ def windows(benchmark: DataFrame, id_column: str = "item_id", text_column: str =
     items = items.groupBy("words").agg(F.min("item_id").alias("item_id"), F.count("*").alias("copies")).withColumn("h", _hashed(F.col("words"))).drop("words")
     # At most SPAN - LEAST_TOKENS lengths.
     short = [r[0] for r in items.filter(F.size("h") < SPAN).select(F.size("h").alias("n")).distinct().collect()]
-    long_seeds = _seeds(items.filter(F.size("h") >= SPAN), list(MASKS))
-    every = long_seeds
+    items = items.withColumn("item", F.col("h"))
+    every = _seeds(items.filter(F.size("h") >= SPAN), list(MASKS))
     for n in sorted(short):
         every = every.unionByName(_seeds(items.filter(F.size("h") == n), ["1" * n]))
-    width = F.least(F.lit(WINDOW), F.size("h"))
-    first = F.least(F.greatest(F.col("p") - F.lit((WINDOW - SPAN) // 2), F.lit(0)), F.size("h") - width)
-    cut = every.select("seed", (F.col("p") - first).alias("back"), F.slice("h", first + 1, width).alias("window"), "item_id", "copies")
+    width = F.least(F.lit(WINDOW), F.size("item"))
+    first = F.least(F.greatest(F.col("p") - F.lit((WINDOW - SPAN) // 2), F.lit(0)), F.size("item") - width)
+    cut = every.select("seed", (F.col("p") - first).alias("back"), F.slice("item", first + 1, width).alias("window"), "item_id", "copies")
     found = cut.groupBy("seed", "back", "window").agg(F.min("item_id").alias("item_id"), F.sum("copies").alias("items"))
     return stored(found), [*MASKS, *["1" * n for n in sorted(short)]]
 
@@ -90,13 +96,21 @@ def contaminated(
     if found.count() <= broadcast_seeds:
         found = F.broadcast(found)
     doc, text = F.col(id_column).cast("long"), F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    rows = docs.select(doc.alias("doc_id"), F.xxhash64(doc, text).alias("uid"), _hashed(tokens(text)).alias("h"))
-    start = F.col("p") - F.col("back")
-    hits = _seeds(rows, masks).join(found, "seed").filter((start >= 0) & (start + F.size("window") <= F.size("h")))
-    equal = F.aggregate(
-        F.zip_with("window", F.slice("h", start + 1, F.size("window")), lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x
-    )
-    checked = hits.select("uid", "doc_id", "item_id", start.alias("first_token"), (equal / F.size("window")).alias("overlap")).filter(F.col("overlap") >= share)
+    rows = docs.select(doc.alias("doc_id"), F.xxhash64(doc, text).alias("uid"), text.alias("text"))
+    hashed = rows.select("uid", _hashed(tokens(F.col("text"))).alias("h"))
+    hits = _seeds(hashed, masks).join(found, "seed").select("uid", (F.col("p") - F.col("back")).alias("start"), "window", "item_id").filter("start >= 0").distinct()
+    # A document's hits, each a window's place and tokens: no more than it has places, times items that share a seed there.
+    per_row = stored(hits.groupBy("uid").agg(F.collect_list(F.struct("start", "window", "item_id")).alias("hits")))
+    held = per_row if per_row.limit(LISTED + 1).count() > LISTED else F.broadcast(per_row.select("uid"))
+    some = rows.join(held.select("uid"), "uid", "left_semi").select("uid", "doc_id", _hashed(tokens(F.col("text"))).alias("h")).dropDuplicates(["uid"])
+
+    def overlap(hit: Column) -> Column:
+        there = F.slice("h", hit["start"] + 1, F.size(hit["window"]))
+        equal = F.aggregate(F.zip_with(hit["window"], there, lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0))), F.lit(0), lambda s, x: s + x)
+        return F.struct(hit["item_id"].alias("item_id"), hit["start"].alias("first_token"), (equal / F.size(hit["window"])).alias("overlap"), (hit["start"] + F.size(hit["window"]) <= F.size("h")).alias("inside"))
+
+    checked = some.join(per_row, "uid").select("uid", "doc_id", F.explode(F.transform("hits", overlap)).alias("o")).select("uid", "doc_id", "o.*")
+    checked = checked.filter(F.col("inside") & (F.col("overlap") >= share))
     return checked.groupBy("uid", "doc_id", "item_id").agg(
         F.countDistinct("first_token").alias("n_windows"), F.min("first_token").alias("first_token"), F.max("overlap").alias("overlap")
     )
