@@ -122,7 +122,8 @@ def disclosing_terms(rows: DataFrame, spans: DataFrame, generalise: float = GENE
     both = stored(both.filter(F.col("contexts") >= contexts))
     total = rows.agg(F.count("*").alias("total"))
     terms = both.select("term").distinct()
-    of_term = rows.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t")).join(terms, "term", "left_semi")
+    # Every term is counted, folded in each task, before the few wanted ones are picked.
+    of_term = rows.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t")).join(terms, "term")
     scored = both.join(of_entity, "entity").join(of_term, "term").crossJoin(F.broadcast(total))  # one row
     value = F.log2(F.col("df_te") * F.col("total") / (F.col("df_t") * F.col("df_e"))) / F.log2(F.col("total") / F.col("df_e"))
     strong = scored.filter(F.col("df_e") < F.col("total")).withColumn("disclosure", value).filter(F.col("disclosure") >= generalise)
