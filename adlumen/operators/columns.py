@@ -76,5 +76,10 @@ def fill_to_features(df: DataFrame, features: list[str], keep: list[str] = ()) -
 
 
 def row_key(columns: list[str]):
-    """Stable identity of a row: a digest of its columns, nulls told apart."""
-    return F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+    """Stable identity of a row: a digest of its columns.
+
+    Nulls, NaN, -0.0 and times a microsecond apart are told apart.
+    """
+    micros = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+    options = {"ignoreNullFields": "false", "timestampFormat": micros, "timestampNTZFormat": micros, "timeZone": "UTC"}
+    return F.md5(F.to_json(F.struct(*columns), options))

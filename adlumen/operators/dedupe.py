@@ -28,9 +28,9 @@ def first_per_key(df: DataFrame, key: list[str], order_by: list[str] | None = No
 
 
 def keyed_rows(batch: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Distinct rows of a batch with their ``row_key``."""
+    """One row of a batch for each value of ``columns``, with its ``row_key``; the same one if a task runs again."""
     columns = columns or batch.columns
-    return batch.dropDuplicates(columns).withColumn("row_key", row_key(columns))
+    return first_per_key(batch, columns).withColumn("row_key", row_key(columns))
 
 
 def new_rows(keyed: DataFrame, seen_keys: DataFrame) -> DataFrame:

@@ -25,19 +25,26 @@ SORT_ROWS = 100_000
 
 
 def _bucket(v: Column, lo: Column, hi: Column, integral: bool) -> Column:
-    """Sub-range of ``v``; never decreasing in ``v``, and 0 at ``lo``."""
-    if integral:
-        share = (v - lo) / (hi - lo)
-    else:
-        def log_of(x):
-            return F.signum(x) * F.log1p(F.abs(x))
+    """Sub-range of ``v``; never decreasing in ``v``, and lower at ``lo`` than at ``hi``.
 
-        # Log spacing suits long tails; ends too close for it use even spacing.
-        width = log_of(hi) - log_of(lo)
-        share = F.when(width > 0, F.try_divide(log_of(v) - log_of(lo), width)).otherwise(
-            F.try_divide(v / 2 - lo / 2, hi / 2 - lo / 2)
-        )
-    return F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1))
+    NaN, which sorts last, and the infinities have sub-ranges of their own.
+    """
+    if integral:
+        return F.least(F.floor((v - lo) / (hi - lo) * BUCKETS), F.lit(BUCKETS - 1))
+
+    def log_of(x):
+        return F.signum(x) * F.log1p(F.abs(x))
+
+    infinity, most = F.lit(float("inf")), F.lit(1.7976931348623157e308)
+    low = F.when(lo == -infinity, -most).otherwise(lo)
+    high = F.when(F.isnan(hi) | (hi == infinity), most).otherwise(hi)
+    # Log spacing suits long tails; ends too close for it use even spacing.
+    width = log_of(high) - log_of(low)
+    share = F.when(width > 0, F.try_divide(log_of(v) - log_of(low), width)).otherwise(F.try_divide(v - low, high - low))
+    inner = F.least(F.greatest(F.floor(share * BUCKETS), F.lit(0)), F.lit(BUCKETS - 1))
+    return (
+        F.when(F.isnan(v), F.lit(BUCKETS + 1)).when(v == infinity, F.lit(BUCKETS)).when(v == -infinity, F.lit(-1)).otherwise(inner).cast("bigint")
+    )
 
 
 def _in_ranges(data: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
@@ -90,12 +97,15 @@ def _search(data: DataFrame, span: DataFrame, targets: DataFrame, by: list[str],
             *by, "rank", "lo", "hi", F.lit(0).cast("bigint").alias("below"), "n"
         )
     )
-    ranges = [*by, "lo", "hi"]
+    ranges, before = [*by, "lo", "hi"], None
     while True:
         pending = state.filter(F.col("lo") < F.col("hi"))
-        candidates = pending.select(*by, "lo", "hi", "n").distinct().agg(F.sum("n")).first()[0]
+        candidates, largest = pending.select(*by, "lo", "hi", "n").distinct().agg(F.sum("n"), F.max("n")).first()
         if candidates is None:
             return state.select(*by, "rank", F.col("lo").alias("value"))
+        if before is not None and largest >= before:
+            raise RuntimeError(f"a pass left {largest} candidates in one range, as many as before")
+        before = largest
         found = state.filter(F.col("lo") >= F.col("hi"))
         rows = _in_ranges(data, pending, by)
         if candidates <= sort_rows:
@@ -108,8 +118,8 @@ def _search(data: DataFrame, span: DataFrame, targets: DataFrame, by: list[str],
         counts = rows.groupBy(*by, "lo", "hi", "below", bucket.alias("bucket")).agg(
             F.count("*").alias("n"), F.min("v").alias("first"), F.max("v").alias("last")
         )
-        before = Window.partitionBy(*ranges).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-        counts = counts.withColumn("start", F.col("below") + F.coalesce(F.sum("n").over(before), F.lit(0)))
+        lower = Window.partitionBy(*ranges).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("start", F.col("below") + F.coalesce(F.sum("n").over(lower), F.lit(0)))
         hit = (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("n"))
         narrowed = null_safe_join(pending.drop("below", "n"), counts.drop("below"), ranges).filter(hit).select(
             *by, "rank", F.col("first").alias("lo"), F.col("last").alias("hi"), F.col("start").alias("below"), "n"
@@ -128,7 +138,8 @@ def quantiles(
     """Exact interpolated quantiles: ``by..., column, prob, value``.
 
     Groups of at most ``small`` rows use the built-in aggregate, whose memory
-    grows with distinct values; larger ones are narrowed.
+    grows with distinct values; larger ones are narrowed, with equal results
+    for infinities and NaN (sorted last) too.
     """
     by = list(by)
     keys = [*by, "column"]
@@ -149,7 +160,8 @@ def quantiles(
     for i in ("0", "1"):
         out = null_safe_join(out, found.withColumnsRenamed({"rank": f"r{i}", "value": f"v{i}"}), [*keys, f"r{i}"])
     share = F.col("position") - F.floor("position")
-    return out.select(*keys, "prob", (F.col("v0") + (F.col("v1") - F.col("v0")) * share).alias("value"))
+    value = F.when(F.col("v0") == F.col("v1"), F.col("v0")).otherwise(F.col("v0") * (1 - share) + F.col("v1") * share)
+    return out.select(*keys, "prob", value.alias("value"))
 
 
 def hash_number(key: Column, seed: int = 42) -> Column:

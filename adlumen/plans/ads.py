@@ -11,21 +11,24 @@ from adlumen.plans.features import ad_features
 from adlumen.sources.session import checkpointed
 from adlumen.sources.stages import StageStore
 
-FIT_ROWS = 100_000
+def remove_outliers(df: DataFrame, contamination: float = 0.1, fit_rows: int | None = None, n_trees: int = 100, seed: int = 42) -> DataFrame:
+    """Drop that share of all rows, by a forest whose trees draw from all of them.
 
-
-def remove_outliers(df: DataFrame, contamination: float = 0.1, fit_rows: int = FIT_ROWS, n_trees: int = 100, seed: int = 42) -> DataFrame:
-    """Drop the outliers of a forest fitted on a hash sample of ``fit_rows``."""
+    With ``fit_rows`` forest and cut come from a hash sample of that size.
+    """
     features = scale.numeric_columns(df, exclude=names.LOG_TARGETS)
     keyed = df.withColumn("_key", columns.row_key(df.columns))
-    # Read twice: to grow the trees and to place the cut.
-    sample = checkpointed(split.exact_sample(keyed, fit_rows, "_key", seed))
-    flagged = outlier.sample_fitted_outliers(keyed, sample, features, "_key", contamination, n_trees, seed=seed)
+    if fit_rows is None:
+        flagged = outlier.forest_outliers(keyed, features, "_key", (), contamination, n_trees, seed=seed)
+    else:
+        # Read twice: to grow the trees and to place the cut.
+        sample = checkpointed(split.exact_sample(keyed, fit_rows, "_key", seed))
+        flagged = outlier.sample_fitted_outliers(keyed, sample, features, "_key", contamination, n_trees, seed=seed)
     return masks.inliers(flagged).select(*df.columns)
 
 
 def clean_ads(
-    store: StageStore, raw: DataFrame, mapping: kw.Mapping, contamination: float = 0.05, fit_rows: int = FIT_ROWS, n_trees: int = 100
+    store: StageStore, raw: DataFrame, mapping: kw.Mapping, contamination: float = 0.05, fit_rows: int | None = None, n_trees: int = 100
 ) -> DataFrame:
     """Run the stages, reusing those that are complete.
 

@@ -20,6 +20,15 @@ def test_quantiles_by_narrowing(spark):
                 assert got[g, p] == pytest.approx(np.quantile(vs, p), rel=1e-12, abs=1e-12)
 
 
+def test_infinities_and_nan_end_and_agree(spark):
+    rows = [(g, float(v)) for g, vs in {"inf": [*range(50), "inf"], "nan": [*range(50), "nan"], "both": ["-inf", "inf", "nan", "nan", 1, 5e-324, 0, -3]}.items() for v in vs]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.3, 0.5, 0.97, 1.0]
+    a, b = ({(r["g"], r["prob"]): str(r["value"]) for r in ranking.quantiles(df, ["v"], probs, ["g"], small=small).collect()} for small in (0, 10**6))
+    assert a == b and len(a) == 15
+    assert a["inf", 1.0] == "inf" and a["nan", 1.0] == "nan" and a["both", 0.0] == "-inf"
+
+
 @settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.floats(allow_nan=False, allow_infinity=False), min_size=1, max_size=40))
 def test_any_rank_of_any_doubles(spark, values):
