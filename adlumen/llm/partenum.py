@@ -18,12 +18,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from adlumen.llm.common import U, bucket_count, components, dealt, gram_hashes, mixed, packed_ids, scratch, stored, unpacked_ids, word_hashes
 
@@ -38,11 +39,13 @@ def band_of(size: int) -> int:
     return max(int(size).bit_length() - 1, 0)
 
 
+@cache
 def most_different(size: int, largest: int, threshold: Fraction) -> int:
     """The largest symmetric difference with a partner of at most ``largest`` elements."""
     return int((1 - threshold) / (1 + threshold) * (size + min(int(size / threshold), largest)))
 
 
+@cache
 def partitions_of(band: int, threshold: Fraction) -> int:
     """First-level partitions of a band: enough for its largest sets, with a margin for empty parts."""
     top = (2 << band) - 1
@@ -56,15 +59,15 @@ def signatures(elements: np.ndarray, threshold: Fraction) -> list[tuple[int, np.
     bands = [(own, int(size / threshold))]
     if own and size * threshold < (1 << own):
         bands.append((own - 1, (1 << own) - 1))
-    out, exposed = [], False
+    out, exposed, value = [], False, mixed(elements, 0xABCDEF)
     for band, largest in bands:
         n1 = partitions_of(band, threshold)
         part = mixed(elements, 0x1234567 + band) % U(n1 * N2)
         order = np.argsort(part.astype(np.uint16) if n1 * N2 < 65536 else part, kind="stable")
         here = part[order].astype(np.int64)
-        at = np.flatnonzero(np.diff(here, prepend=-1))
+        at = np.flatnonzero(np.concatenate(([True], here[1:] != here[:-1])))
         content = np.zeros(n1 * N2, dtype=U)
-        content[here[at]] = np.add.reduceat(mixed(elements, 0xABCDEF)[order], at)
+        content[here[at]] = np.add.reduceat(value[order], at)
         filled = np.zeros(n1 * N2, dtype=bool)
         filled[here[at]] = True
         content, filled = content.reshape(n1, N2), filled.reshape(n1, N2)
@@ -170,7 +173,7 @@ def signed(docs: DataFrame, words: int, threshold: Fraction, buckets: int, text_
 
 
 def shared(blobs: DataFrame) -> DataFrame:
-    """Signatures of two classes or more: ``group_id, weight, band, member, least`` a row per member.
+    """Signatures of two classes or more: ``group_id, weight, size, band, member, least`` a row per member.
 
     Signatures with the same members count as one group of that weight.
     """
@@ -197,13 +200,14 @@ def shared(blobs: DataFrame) -> DataFrame:
             {
                 "group_id": np.repeat((bucket << 32) + np.arange(len(groups)), lengths),
                 "weight": np.repeat([w for w, *_ in groups.values()] or np.zeros(0, dtype=np.int64), lengths).astype(np.int64),
+                "size": np.repeat(lengths or np.zeros(0, dtype=np.int64), lengths).astype(np.int64),
                 "band": ((fact >> 40) - 1).astype(np.int32),
                 "member": np.concatenate([m for _, m, _ in groups.values()]) if groups else np.zeros(0, dtype=np.int64),
                 "least": fact & 0xFFFFF,
             }
         )
 
-    return blobs.groupBy("bucket").applyInPandas(run, "group_id long, weight long, band int, member long, least long")
+    return blobs.groupBy("bucket").applyInPandas(run, "group_id long, weight long, size long, band int, member long, least long")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, words: int, threshold: Fraction) -> DataFrame:
@@ -268,18 +272,20 @@ def joined(
     their own, each with its text; a null id is kept, and never is the smallest of a component that has another.
     Extra columns are ignored, an empty table gives an empty result.
 
-    Verification in two steps, so that a family of thousands of near copies costs a pair for each member, not for each
-    two: first each class against the smallest class it shares a signature with, then every pair of classes that share
-    one and are not yet in the same component.  Before that, a class that shares fewer signatures than any partner
-    would leave it (``least``) is dropped: it can't link.
+    Two steps lead to the pairs that are verified.  A class shares at least ``least`` signatures with any partner: one
+    that shares fewer with all others is dropped, and of the rest each may pass over its ``least - 1`` commonest ones, as
+    one that is left is still shared (prefix filter; the order by group size is the same for all).  So what many
+    documents have in common by a passage or a line brings no pairs.  Then each class is checked against the smallest
+    class it still shares a signature with, and after that every two classes that share one and are not in the same
+    component; a family of thousands of near copies costs a pair for each member.
     """
     buckets = bucket_count(docs, text_column)
     classes = stored(shingled(docs, words, id_column, text_column))
     groups = stored(shared(signed(docs, words, threshold, buckets, text_column)))
-    able = (
-        groups.groupBy("member", "band").agg(F.sum("weight").alias("n"), F.min("least").alias("least")).filter("n >= least").select("member", "band")
-    )
-    left = stored(groups.select("group_id", "band", "member").join(able, ["member", "band"], "left_semi").select("group_id", "member"))
+    mine = Window.partitionBy("member", "band")
+    before = mine.orderBy("size", "group_id").rowsBetween(Window.unboundedPreceding, -1)
+    counted = groups.withColumn("n", F.sum("weight").over(mine)).withColumn("before", F.coalesce(F.sum("weight").over(before), F.lit(0)))
+    left = stored(counted.filter("n >= least and before <= n - least").select("group_id", "member"))
     lead = left.groupBy("group_id").agg(F.min("member").alias("lead"))
     first = stored(
         left.join(lead, "group_id").groupBy("member").agg(F.min("lead").alias("a")).filter("a != member").select("a", F.col("member").alias("b"))
