@@ -35,15 +35,17 @@ def clean_ads(
     Leaves the tables ``ohe_vocab`` and ``scaler_params`` in the store.
     """
     spark = store.spark
-    features = store.run("features", lambda: ad_features(raw, mapping))
+    features = store.run("features", lambda: ad_features(raw, mapping), mapping=mapping)
     distinct = store.run("distinct", lambda: dedupe.distinct_rows(features))
-    inliers = store.run("inliers", lambda: remove_outliers(distinct, contamination, fit_rows, n_trees))
+    inliers = store.run(
+        "inliers", lambda: remove_outliers(distinct, contamination, fit_rows, n_trees), contamination=contamination, fit_rows=fit_rows, n_trees=n_trees
+    )
     vocabulary = learned_vocabulary(store, inliers)
     encoded = store.run("encoded", lambda: encode.one_hot(inliers, vocabulary))
     flags = [f"{c}_{v}" for c, vs in vocabulary.items() for v in vs]
     numeric = scale.numeric_columns(encoded, exclude=names.LOG_TARGETS + flags)
     params = f"{store.root}/scaler_params"
-    if store.force or not store.done("scaler_params"):
+    if store.force or store.changed or not store.done("scaler_params"):
         fitted = scale.fit_standard(encoded, numeric)
         scale.moments_table(spark, fitted).write.mode("overwrite").parquet(params)
     return store.run("scaled", lambda: scale.apply_standard(encoded, scale.moments_from_table(spark.read.parquet(params))))
@@ -51,7 +53,7 @@ def clean_ads(
 
 def learned_vocabulary(store: StageStore, df: DataFrame) -> encode.Vocabulary:
     path = f"{store.root}/ohe_vocab"
-    if store.force or not store.done("ohe_vocab"):
+    if store.force or store.changed or not store.done("ohe_vocab"):
         vocabulary, _ = encode.learn_vocabulary(df, names.CATEGORICALS)
         encode.vocabulary_table(store.spark, vocabulary).write.mode("overwrite").parquet(path)
     return encode.vocabulary_from_table(store.spark.read.parquet(path))

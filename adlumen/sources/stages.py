@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,6 +14,7 @@ class StageStore:
     def __init__(self, spark: SparkSession, root: str, force: bool = False):
         self.spark, self.root, self.force = spark, root.rstrip("/"), force
         self.order: list[str] = []
+        self.changed = False
 
     def path(self, stage: str) -> str:
         return f"{self.root}/{stage}"
@@ -23,10 +25,20 @@ class StageStore:
         marker = jvm.org.apache.hadoop.fs.Path(f"{self.path(stage)}/_SUCCESS")
         return marker.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
 
-    def run(self, stage: str, compute: Callable[[], DataFrame]) -> DataFrame:
-        """Read the stage if it is there, else compute and write it."""
-        if self.force or not self.done(stage):
+    def _settings(self, stage: str) -> str | None:
+        path = f"{self.root}/_settings/{stage}"
+        return self.spark.read.text(path).first()[0] if self.done(f"_settings/{stage}") else None
+
+    def run(self, stage: str, compute: Callable[[], DataFrame], **settings) -> DataFrame:
+        """Read the stage if it is there with the same settings, else compute and write it.
+
+        Once a stage was computed, those after it are too: they read its result.
+        """
+        wanted = json.dumps(settings, sort_keys=True, default=str)
+        if self.force or self.changed or not self.done(stage) or self._settings(stage) != wanted:
+            self.changed = True
             compute().write.mode("overwrite").option("compression", "zstd").parquet(self.path(stage))
+            self.spark.createDataFrame([(wanted,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/_settings/{stage}")
         self.order.append(stage)
         return self.spark.read.parquet(self.path(stage))
 
