@@ -70,11 +70,11 @@ def test_terms_that_reveal(spark):
 
 
 def test_sanitised_keeps_rows(spark):
-    rows = [(1, None), (2, ""), (3, "é x@y.zz +1 (017) 555-7713 4111 1111 1111 1111 end"), (3, "é x@y.zz +1 (017) 555-7713 4111 1111 1111 1111 end"), (None, "1.2.3.4")]
+    rows = [(1, None), (2, ""), (3, "é x@y.zz +1 (017) 555-7713 and 4111 1111 1111 1111 end"), (3, "é x@y.zz +1 (017) 555-7713 and 4111 1111 1111 1111 end"), (None, "1.2.3.4")]
     df = spark.createDataFrame([(*x, "u", "s") for x in rows], SCHEMA)
     out = sanitize.sanitised(df)
     assert out.columns == df.columns
-    line = "é [EMAIL] [PHONE] end"
+    line = "é [EMAIL] [PHONE] and [CARD] end"
     assert sorted(((r["doc_id"], r["text"], r["uid"]) for r in out.collect()), key=str) == sorted(
         [(1, None, "u"), (2, "", "u"), (3, line, "u"), (3, line, "u"), (None, "[IP]", "u")], key=str
     )
