@@ -33,6 +33,8 @@ ELEMENTS = -1
 FLUSH = 600_000
 # Classes of which texts are fetched by a broadcast list; beyond, the list is joined by shuffle.
 LISTED = 200_000
+# Elements of sets a task keeps between pairs: 16 MB.
+HELD_ELEMENTS = 2_000_000
 
 
 def band_of(size: int) -> int:
@@ -173,7 +175,7 @@ def signed(docs: DataFrame, words: int, threshold: Fraction, buckets: int, text_
 
 
 def shared(blobs: DataFrame) -> DataFrame:
-    """Signatures of two classes or more: ``group_id, weight, size, band, member, least`` a row per member.
+    """Signatures of two classes or more: ``group_id, weight, size, band, member, least, n_elements`` a row per member.
 
     Signatures with the same members count as one group of that weight.
     """
@@ -204,10 +206,11 @@ def shared(blobs: DataFrame) -> DataFrame:
                 "band": ((fact >> 40) - 1).astype(np.int32),
                 "member": np.concatenate([m for _, m, _ in groups.values()]) if groups else np.zeros(0, dtype=np.int64),
                 "least": fact & 0xFFFFF,
+                "n_elements": fact >> 20 & 0xFFFFF,
             }
         )
 
-    return blobs.groupBy("bucket").applyInPandas(run, "group_id long, weight long, size long, band int, member long, least long")
+    return blobs.groupBy("bucket").applyInPandas(run, "group_id long, weight long, size long, band int, member long, least long, n_elements long")
 
 
 def linked(pairs: DataFrame, texts: DataFrame, words: int, threshold: Fraction) -> DataFrame:
@@ -215,12 +218,19 @@ def linked(pairs: DataFrame, texts: DataFrame, words: int, threshold: Fraction)
     up, down = threshold.numerator, threshold.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, np.ndarray] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                left, right = (shingle_sets(_texts(part.column(i)), words) for i in (2, 3))
+                # A class stands in many pairs; those of one task often follow each other.
+                if sum(map(len, sets.values())) > HELD_ELEMENTS:
+                    sets.clear()
+                for i in (0, 1):
+                    ids = part.column(i).to_pylist()
+                    new = {c: j for j, c in enumerate(ids) if c not in sets}
+                    sets.update(zip(new, shingle_sets([part.column(i + 2)[j].as_buffer().to_pybytes() for j in new.values()], words)))
                 keep = []
-                for x, y in zip(left, right):
+                for x, y in ((sets[a], sets[b]) for a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     keep.append(down * both >= up * (len(x) + len(y) - both))
                 yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -285,7 +295,7 @@ def joined(
     mine = Window.partitionBy("member", "band")
     before = mine.orderBy("size", "group_id").rowsBetween(Window.unboundedPreceding, -1)
     counted = groups.withColumn("n", F.sum("weight").over(mine)).withColumn("before", F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    left = stored(counted.filter("n >= least and before <= n - least").select("group_id", "member"))
+    left = stored(counted.filter("n >= least and before <= n - least").select("group_id", "member", "n_elements"))
     lead = left.groupBy("group_id").agg(F.min("member").alias("lead"))
     first = stored(
         left.join(lead, "group_id").groupBy("member").agg(F.min("lead").alias("a")).filter("a != member").select("a", F.col("member").alias("b"))
@@ -296,9 +306,11 @@ def joined(
     placed = left.join(roots.withColumnRenamed("node", "member"), "member", "left").withColumn("root", F.coalesce("root", "member"))
     torn = placed.groupBy("group_id").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("group_id")
     placed = stored(placed.join(torn, "group_id", "left_semi"))
-    other = placed.select("group_id", F.col("member").alias("b"), F.col("root").alias("other"))
+    other = placed.select("group_id", F.col("member").alias("b"), F.col("root").alias("other"), F.col("n_elements").alias("m"))
+    # Sets whose sizes alone rule out the similarity are no pair; sizes over the field's range (about a million) never do.
+    alike = F.expr(f"least(n_elements, m) * {threshold.denominator} >= greatest(n_elements, m) * {threshold.numerator} or greatest(n_elements, m) = {(1 << 20) - 1}")
     rest = (
-        placed.join(other, "group_id").filter("member < b and root != other").select(F.col("member").alias("a"), "b").distinct()
+        placed.join(other, "group_id").filter("member < b and root != other").filter(alike).select(F.col("member").alias("a"), "b").distinct()
         .join(first, ["a", "b"], "left_anti")
     )
     late = linked(stored(rest), texts, words, threshold)
