@@ -35,6 +35,8 @@ FLUSH = 600_000
 LISTED = 200_000
 # Elements of sets a task keeps between pairs: 16 MB.
 HELD_ELEMENTS = 2_000_000
+# Members of other components that a class tries before it is compared with all of them.
+TRIES = 6
 
 
 def band_of(size: int) -> int:
@@ -266,6 +268,23 @@ def class_texts(classes: DataFrame, needed: DataFrame, docs: DataFrame, id_colum
     return found.join(wanted.select("class_id"), "class_id", "left_semi").dropDuplicates(["class_id"])
 
 
+def _torn(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """The entries, with the ``root`` of each member, of groups that more than one component shares."""
+    placed = entries.join(roots.withColumnRenamed("node", "member"), "member", "left").withColumn("root", F.coalesce("root", "member"))
+    torn = placed.groupBy("group_id").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("group_id")
+    return placed.join(torn, "group_id", "left_semi")
+
+
+def _merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, root`` after further links ``a, b``; a node that isn't there is its own root."""
+    ends = edges.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
+        roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left"
+    )
+    across = components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    moved = roots.join(across.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return moved.unionByName(across.join(roots, "node", "left_anti").select("node", "root"))
+
+
 def jaccard_components(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row: see :func:`joined`."""
     return joined(docs, **options).select("doc_id", "n_shingles", "component_id")
@@ -286,8 +305,9 @@ def joined(
     that shares fewer with all others is dropped, and of the rest each may pass over its ``least - 1`` commonest ones, as
     one that is left is still shared (prefix filter; the order by group size is the same for all).  So what many
     documents have in common by a passage or a line brings no pairs.  Then each class is checked against the smallest
-    class it still shares a signature with, and after that every two classes that share one and are not in the same
-    component; a family of thousands of near copies costs a pair for each member.
+    class it still shares a signature with, next against ``TRIES`` others of other components, and after that every two
+    classes that share one and are not in the same component yet; a family of thousands of near copies that are mostly
+    alike costs a few pairs for each member.
     """
     buckets = bucket_count(docs, text_column)
     classes = stored(shingled(docs, words, id_column, text_column))
@@ -303,27 +323,30 @@ def joined(
     texts = stored(class_texts(classes, left.select(F.col("member").alias("class_id")).distinct(), docs, id_column, text_column, words))
     sure = stored(linked(first, texts, words, threshold))
     roots = stored(components(sure))
-    placed = left.join(roots.withColumnRenamed("node", "member"), "member", "left").withColumn("root", F.coalesce("root", "member"))
-    torn = placed.groupBy("group_id").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("group_id")
-    placed = stored(placed.join(torn, "group_id", "left_semi"))
+    placed = stored(_torn(left, roots))
+    # What is left apart tries a few members of other components first, others for each salt.
+    tried = None
+    for salt in range(TRIES):
+        rank = F.xxhash64("member", F.lit(salt))
+        lead = placed.groupBy("group_id").agg(F.min(F.struct(rank.alias("h"), F.col("member").alias("lead"), F.col("root").alias("lead_root"))).alias("l"))
+        best = placed.join(lead, "group_id").filter("root != l.lead_root").groupBy("member").agg(F.min("l").alias("l"))
+        pair = best.select(F.least("member", "l.lead").alias("a"), F.greatest("member", "l.lead").alias("b"))
+        tried = pair if tried is None else tried.unionByName(pair)
+    tried = stored(tried.distinct())
+    roots = stored(_merged(roots, stored(linked(tried, texts, words, threshold))))
+    placed = stored(_torn(left, roots))
     other = placed.select("group_id", F.col("member").alias("b"), F.col("root").alias("other"), F.col("n_elements").alias("m"))
     # Sets whose sizes alone rule out the similarity are no pair; sizes over the field's range (about a million) never do.
     alike = F.expr(f"least(n_elements, m) * {threshold.denominator} >= greatest(n_elements, m) * {threshold.numerator} or greatest(n_elements, m) = {(1 << 20) - 1}")
     rest = (
         placed.join(other, "group_id").filter("member < b and root != other").filter(alike).select(F.col("member").alias("a"), "b").distinct()
-        .join(first, ["a", "b"], "left_anti")
+        .join(first.unionByName(tried), ["a", "b"], "left_anti")
     )
-    late = linked(stored(rest), texts, words, threshold)
-    ends = late.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
-        roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left"
-    )
-    across = components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    roots = stored(_merged(roots, stored(linked(stored(rest), texts, words, threshold))))
     final = stored(
         classes.filter("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("least"))
-        .join(roots.select(F.col("node").alias("class_id"), F.col("root").alias("r1")), "class_id", "left")
-        .withColumn("r1", F.coalesce("r1", "class_id"))
-        .join(across.select(F.col("node").alias("r1"), F.col("root").alias("r2")), "r1", "left")
-        .select("class_id", "least", F.coalesce("r2", "r1").alias("r"))
+        .join(roots.select(F.col("node").alias("class_id"), F.col("root").alias("r")), "class_id", "left")
+        .withColumn("r", F.coalesce("r", "class_id"))
     )
     smallest = final.groupBy("r").agg(F.min("least").alias("component_id"))
     by_class = final.join(smallest, "r").select("class_id", F.col("r").alias("root"), "component_id")
