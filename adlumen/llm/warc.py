@@ -252,11 +252,12 @@ def resolved(found: DataFrame) -> DataFrame:
         .agg(F.min("page_id").alias("to_page"), F.min("payload_bytes").alias("to_bytes"), F.min("payload_digest").alias("to_digest"))
         .withColumnRenamed("record_id", "refers_to_record")
     )
-    joined = found.join(first, "refers_to_record", "left")
-    revisit = F.col("record_type") == "revisit"
-    return joined.withColumn("refers_to", F.when(revisit, F.col("to_page"))).withColumn(
-        "verified", F.col("verified") & (~F.coalesce(revisit, F.lit(False)) | F.coalesce(F.col("to_digest") == F.col("payload_digest"), F.lit(False)))
-    ).withColumn("payload_bytes", F.when(revisit, F.col("to_bytes")).otherwise(F.col("payload_bytes"))).drop("to_page", "to_bytes", "to_digest")
+    revisit = F.coalesce(F.col("record_type") == "revisit", F.lit(False))
+    # Only revisits are joined: all others have no record to look for, and would meet in one task.
+    joined = found.filter(revisit).drop("payload_bytes").join(first, "refers_to_record", "left")
+    joined = joined.withColumn("verified", F.col("verified") & F.coalesce(F.col("to_digest") == F.col("payload_digest"), F.lit(False)))
+    joined = joined.withColumnsRenamed({"to_page": "refers_to", "to_bytes": "payload_bytes"}).drop("to_digest")
+    return found.filter(~revisit).withColumn("refers_to", F.lit(None).cast("long")).unionByName(joined)
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
