@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from adlumen.llm import bucketsort, chaining, covertree, decontaminate, packing, partenum, quality, sanitize, suffixtree, warc
+from adlumen.llm import bucketsort, chaining, covertree, decontaminate, lexical, middle, packing, partenum, quality, rotated, sanitize, suffixtree, warc
 from adlumen.llm.sql import SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probabilities of all documents by the suffix tree and by unigrams of words."""
     return suffixtree.scored(table(spark, sf_dir, "documents"))
+
+
+@register
+def op11_wavelet_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut for filling in the middle, and rebuilt from the result."""
+    return middle.checked(table(spark, sf_dir, "documents"))
+
+
+@register
+def op12_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    return rotated.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op13_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents for each item of the benchmark."""
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -4,6 +4,7 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 _WORDS = rf"list_filter(string_split_regex({_LOWER.format('coalesce(text, ' + repr('') + ')')}, '[\x20\t\n\v\f\r]+'), lambda w: w <> '')"
 
 _TOKENS = r"string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+')"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # The masks of the spaced seeds as places from 0.
 _MASK_PLACES = "[0,1,2,4,6,7,10], [0,1,3,6,7,8,10], [0,2,3,5,8,9,10]"
 
@@ -59,4 +60,44 @@ roots AS (SELECT x AS c, min(y) AS root FROM reach GROUP BY x),
 members AS (SELECT c, len(s) AS n, unnest(ids) AS doc_id FROM classes)
 SELECT m.doc_id, m.n AS n_shingles, CASE WHEN m.n = 0 THEN m.doc_id ELSE r.root END AS component_id
 FROM members m JOIN roots r USING (c)""",
+    "op11_wavelet_middle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS h FROM documents),
+u AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS w,
+    list_transform(range(4), lambda i: ('0x' || substr(h, CAST(8 * i + 1 AS BIGINT), 8))::BIGINT) AS h FROM d),
+c AS (SELECT *, len(w) AS n, least(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS a, greatest(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS b FROM u),
+f AS (
+  SELECT doc_id, t, n, array_to_string(w[:a], '') AS p, array_to_string(w[a + 1 : b], '') AS m, array_to_string(w[b + 1 :], '') AS s,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+      WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM f""",
+    "op12_rotated_codes": """
+WITH v AS (
+  SELECT DISTINCT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+s AS (
+  SELECT q.vec_id AS query_id, q.x AS x, c.vec_id AS vec_id, list_cosine_similarity(q.x, c.x) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.x) = len(q.x))
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id, x ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op13_hybrid_search": rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format('text')}, '{_TERM}') AS w FROM documents WHERE text IS NOT NULL),
+sizes AS MATERIALIZED (SELECT r, doc_id, len(w) AS n FROM docs WHERE len(w) > 0),
+totals AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM sizes),
+items AS (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL),
+asked AS MATERIALIZED (
+  SELECT i, item_id, term, count(*)::BIGINT AS repeats
+  FROM (SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all({_LOWER.format('text')}, '{_TERM}')) AS term FROM items) GROUP BY ALL),
+tf AS MATERIALIZED (
+  SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM docs) SEMI JOIN asked USING (term) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, totals GROUP BY term, n_docs),
+scores AS (
+  SELECT i, item_id, doc_id, sum(w * repeats * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN sizes USING (r), totals GROUP BY i, item_id, r, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 20""",
 }
