@@ -32,13 +32,14 @@ from adlumen.llm.common import small_batches, stored
 TOP, EVERY = 5, 50
 # Centres at most, and vectors (and bytes of them) they are fitted on.
 CENTRES, SAMPLE, SAMPLE_BYTES, ROUNDS = 256, 16_384, 16 << 20, 5
-TILE_ROWS, CHUNK_ROWS = 16_384, 16_384
+TILE_ROWS, CHUNK_ROWS = 4_096, 16_384
 # Centres that set a query's mark.
 FIRST = 3
 PLANES, ERRORS = 6, 3.0
 # Pairs of a query and a code estimated at once.
-PAIRS = 1 << 20
-SLACK = 1e-9
+PAIRS = 1 << 17
+# What single precision may be off.
+SLACK = 1e-5
 NOTHING = -2.0
 
 
@@ -141,28 +142,34 @@ class Codes:
         self.words = packed(turned > 0)
         self.ones = np.bitwise_count(self.words).sum(axis=1).astype(np.int64)
 
-    def estimates(self, q: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For unit queries ``q``: estimates of all cosines and the bounds of their errors, a row per query."""
+    def reaches(self, q: np.ndarray, centre: np.ndarray, turn: np.ndarray, errors: float = ERRORS) -> np.ndarray:
+        """For unit queries ``q``: estimates of all cosines plus ``errors`` bounds of their errors, a row per query.
+
+        The sum over common bits is the only term of rank above one; all others are one product of narrow matrices.
+        """
         length = q.shape[1]
         offset = q - centre
         turned = offset @ turn
-        reach = np.sqrt((offset * offset).sum(axis=1))
-        low = turned.min(axis=1, keepdims=True)
-        step = np.maximum((turned.max(axis=1, keepdims=True) - low) / ((1 << PLANES) - 1), 1e-12)
-        level = np.rint((turned - low) / step).astype(np.int64)
-        rounded = np.abs(turned - (low + step * level)).sum(axis=1)
-        # Product with the signs: twice what the set bits add, less all.
-        common = np.zeros((len(q), len(self.far)), dtype=np.int64)
+        low = turned.min(axis=1)
+        step = np.maximum((turned.max(axis=1) - low) / ((1 << PLANES) - 1), 1e-12)
+        level = np.rint((turned - low[:, None]) / step[:, None]).astype(np.int64)
+        rounded = np.abs(turned - (low[:, None] + step[:, None] * level)).sum(axis=1)
+        common = np.zeros((len(q), len(self.far)), dtype=np.uint16 if length < 1024 else np.uint32)
         for p in range(PLANES):
             plane = packed((level >> p & 1).astype(bool))
             for w in range(plane.shape[1]):
-                common += np.bitwise_count(plane[:, w][:, None] & self.words[:, w][None, :]).astype(np.int64) << p
-        signed = 2 * (step * common + low * self.ones) - (step[:, 0] * level.sum(axis=1) + length * low[:, 0])[:, None]
+                both = np.bitwise_count(plane[:, w][:, None] & self.words[:, w][None, :])
+                common += np.left_shift(both, p, dtype=common.dtype)
         own = np.maximum(self.own, 0.05)
         scale = self.far / (own * math.sqrt(length))
-        estimate = signed * scale + self.along + (q @ centre)[:, None] - centre @ centre
         spread = self.far * np.sqrt(np.maximum(1 - own * own, 0)) / own / math.sqrt(max(length - 1, 1))
-        return estimate, ERRORS * spread * reach[:, None] + scale * rounded[:, None] + SLACK
+        # Product with the signs: twice what the set bits add, less all.
+        whole = step * level.sum(axis=1) + length * low
+        ones = np.ones(len(q))
+        by_query = (2 * low, (rounded if errors else 0) - whole, ones, q @ centre - centre @ centre + (SLACK if errors else 0), errors * np.sqrt((offset * offset).sum(axis=1)))
+        by_code = (scale * self.ones, scale, self.along, np.ones(len(scale)), spread)
+        out = np.stack(by_query, axis=1).astype(np.float32) @ np.stack(by_code).astype(np.float32)
+        return out + common * ((2 * step).astype(np.float32)[:, None] * scale.astype(np.float32)[None, :])
 
 
 def packed(bits: np.ndarray) -> np.ndarray:
@@ -198,37 +205,49 @@ def scan(answers: Answers, q: np.ndarray, rows: np.ndarray, x: np.ndarray, ids:
 
     ``ids`` holds ``sizes`` ids of each class, one class after another.
     """
-    first = np.cumsum(sizes) - sizes
+    u, found = unit(x), []
     step = max(1, PAIRS // max(len(x), 1))
     for at in range(0, len(rows), step):
         part = rows[at : at + step]
-        estimate, error = codes.estimates(unit(q[part]), centre, turn)
+        uq, mark = unit(q[part]), answers.mark[part]
 
-        def compare(i: np.ndarray, j: np.ndarray, part: np.ndarray = part) -> None:
+        def compared(i: np.ndarray, j: np.ndarray, part=part, uq=uq, mark=mark) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The pairs that reach the mark, with their cosines; a product of unit vectors rules most others out."""
+            near = np.einsum("pd,pd->p", uq[i], u[j]) >= mark[i] - SLACK
+            i, j = i[near], j[near]
             score = cosines(q[part[i]], x[j])
-            good = score >= answers.mark[part[i]]
-            i, j, score = i[good], j[good], score[good]
-            wanted = np.repeat(first[j], sizes[j]) + np.arange(int(sizes[j].sum())) - np.repeat(np.cumsum(sizes[j]) - sizes[j], sizes[j])
-            answers.add(np.repeat(part[i], sizes[j]), np.repeat(score, sizes[j]), ids[wanted])
-
-        # The best estimates first, for the mark; then all that may still reach it.
-        some = min(answers.keep, len(x))
-        ahead = np.argpartition(-estimate, some - 1, axis=1)[:, :some]
-        reach = estimate + error
-        taken = np.take_along_axis(reach, ahead, axis=1) >= answers.mark[part][:, None]
-        compare(np.repeat(np.arange(len(part)), some)[taken.ravel()], ahead.ravel()[taken.ravel()])
-        np.put_along_axis(reach, ahead, -np.inf, axis=1)
-        i, j = np.nonzero(reach >= answers.mark[part][:, None])
-        compare(i, j)
-
-
-def nearest(df: DataFrame, top: int = TOP, every: int = EVERY, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+            good = score >= mark[i]
+            return i[good], j[good], score[good]
+
+        reach = codes.reaches(uq, centre, turn)
+        if (mark == NOTHING).any():
+            # The best estimates give a first mark.
+            some = min(answers.keep, len(x))
+            ahead = np.argpartition(-codes.reaches(uq, centre, turn, 0.0), some - 1, axis=1)[:, :some]
+            i = np.repeat(np.arange(len(part)), some)
+            score = np.full((len(part), some), NOTHING)
+            if some == answers.keep:
+                score = np.einsum("pd,pd->p", uq[i], u[ahead.ravel()]).reshape(len(part), some)
+            mark[:] = np.maximum(mark, score.min(axis=1) - SLACK)
+        i, j = np.nonzero(reach >= mark[:, None])
+        i, j, score = compared(i, j)
+        found.append((part[i], j, score))
+    row, j, score = (np.concatenate(f) for f in zip(*found))
+    first, n = np.cumsum(sizes) - sizes, sizes[j]
+    wanted = np.repeat(first[j] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    answers.add(np.repeat(row, n), np.repeat(score, n), ids[wanted])
+
+
+def nearest(
+    df: DataFrame, top: int = TOP, every: int = EVERY, id_column: str = "vec_id", vector_column: str = "embedding", probes: int | None = None
+) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``top`` vectors of the largest cosine for each row whose id ``every`` divides.
 
     A vector that is null, empty or zero, holds a null or a number that is not finite, or has no id takes no part; vectors
     of other lengths are no candidates of each other.  A row that is there more than once counts once; rows that share an id with other
     vectors are queries of their own and not each other's candidates.  Equal scores go to the smaller id; a query with
-    fewer candidates gets them all.  Extra columns are ignored, an empty table gives an empty result.
+    fewer candidates gets them all.  With ``probes`` a query scans so many centres at most, for tables on which all that may
+    matter are too many; by default it scans them all.  Extra columns are ignored, an empty table gives an empty result.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -305,7 +324,7 @@ def nearest(df: DataFrame, top: int = TOP, every: int = EVERY, id_column: str =
                         chosen = order[:FIRST]
                     else:
                         near = np.maximum(gap - np.array([sizes[c][1] for c in numbers.tolist()]), 0)
-                        chosen = order[FIRST:]
+                        chosen = order[FIRST:probes]
                         chosen = chosen[1 - near[chosen] ** 2 / 2 >= mark - SLACK]
                     by_tile: dict[int, list[int]] = {}
                     for c in numbers[chosen].tolist():
