@@ -67,19 +67,28 @@ def two_pass_outliers(
     Returns the combined mask and the rows that pass both.
     """
     group = "business_type"
-    matrix, features = scale.feature_matrix(df, by=[group], keep=[key])
-    first = outlier.forest_outliers(
-        matrix, features, key, [group], contamination, n_trees, min_group=min_group, seed=seed,
-        flag="is_outlier_gw", score="anomaly_score_gw",
-    )
-    first = checkpointed(first.select(key, "is_outlier_gw", "anomaly_score_gw"))
+    first = _forest_mask(df, key, [group], "gw", contamination, n_trees, min_group, seed)
     rest = df.join(first.filter("is_outlier_gw").select(key), key, "left_anti")
-    matrix, features = scale.feature_matrix(rest, keep=[key])
-    second = outlier.forest_outliers(
-        matrix, features, key, (), contamination, n_trees, seed=seed,
-        flag="is_outlier_global", score="anomaly_score_global",
-    )
-    second = checkpointed(second.select(key, "is_outlier_global", "anomaly_score_global"))
+    second = _forest_mask(rest, key, [], "global", contamination, n_trees, min_group, seed)
     mask = masks.combine_masks(df.select(key, group), first, second, key).join(df.select(key, group), key)
     kept = df.join(mask.filter("is_outlier_combined").select(key), key, "left_anti")
     return mask, kept
+
+
+def _forest_mask(
+    df: DataFrame, key: str, by: list[str], name: str, contamination: float | str, n_trees: int, min_group: int, seed: int
+) -> DataFrame:
+    """One pass: ``is_outlier_{name}`` and ``anomaly_score_{name}`` by key; without numeric features nothing is an outlier."""
+    matrix, features = scale.feature_matrix(df, by=by, keep=[key])
+    if not features:
+        return df.select(key, F.lit(False).alias(f"is_outlier_{name}"), F.lit(None).cast("double").alias(f"anomaly_score_{name}"))
+    size = {"min_group": min_group} if by else {}
+    found = outlier.forest_outliers(
+        matrix, features, key, by, contamination, n_trees, seed=seed, flag=f"is_outlier_{name}", score=f"anomaly_score_{name}", **size
+    )
+    return checkpointed(found.select(key, f"is_outlier_{name}", f"anomaly_score_{name}"))
+
+
+def two_pass_summary(mask: DataFrame, df: DataFrame, min_group: int = 150) -> DataFrame:
+    """Size, outliers and note of every business type in the first pass over ``df``."""
+    return masks.group_summary(mask, "business_type", "is_outlier_gw", min_group, numeric=bool(scale.outlier_columns(df)))

@@ -57,7 +57,8 @@ def small_side(df: DataFrame, rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Checkpoints go to the folder the session names; a temporary one only in local mode without a name."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
@@ -76,5 +77,5 @@ def checkpointed(df: DataFrame) -> DataFrame:
     Used where a later step would otherwise compute the frame again with a
     different outcome, or where a loop would grow the plan.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
