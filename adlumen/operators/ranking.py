@@ -137,25 +137,29 @@ def quantiles(
 ) -> DataFrame:
     """Exact interpolated quantiles: ``by..., column, prob, value``.
 
-    Groups of at most ``small`` rows use the built-in aggregate, whose memory
-    grows with distinct values; larger ones are narrowed, with equal results
-    for infinities and NaN (sorted last) too.
+    Groups of at most ``small`` rows use the built-in aggregate, one for each column over the table as it is; its memory
+    grows with distinct values.  Larger groups are narrowed, with equal results for infinities and NaN (sorted last)
+    too: only then do cells become rows, in passes over the cached columns.
     """
     by = list(by)
     keys = [*by, "column"]
-    rows = _long_form(df, columns, by).persist(StorageLevel.MEMORY_AND_DISK)
     prob_list = F.array(*[F.lit(float(p)) for p in probs])
+    wide = df.select(*by, *[F.col(f"`{c}`").cast("double").alias(f"_v{i}") for i, c in enumerate(columns)])
+    wide = wide.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        span = _span(rows, keys)
-        if (span.agg(F.max("n")).first()[0] or 0) <= small:
-            out = rows.groupBy(*keys).agg(F.percentile("v", prob_list).alias("values"))
+        if (wide.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= small:
+            out = wide.groupBy(*by).agg(*[F.percentile(f"_v{i}", prob_list).alias(f"_v{i}") for i in range(len(columns))])
+            cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_v{i}").alias("values")) for i, c in enumerate(columns)])
+            long = out.select(*by, F.explode(cells).alias("_c")).select(*by, "_c.*").filter("values IS NOT NULL")
             pairs = F.arrays_zip(prob_list.alias("prob"), F.col("values").alias("value"))
-            return checkpointed(out.select(*keys, F.explode(pairs).alias("_q")).select(*keys, "_q.prob", "_q.value"))
+            return checkpointed(long.select(*keys, F.explode(pairs).alias("_q")).select(*keys, "_q.prob", "_q.value"))
+        rows = _long_form(wide.withColumnsRenamed({f"_v{i}": c for i, c in enumerate(columns)}), columns, by)
+        span = _span(rows, keys)
         at = span.select(*keys, F.explode(prob_list).alias("prob"), "n").withColumn("position", (F.col("n") - 1) * F.col("prob"))
         targets = at.select(*keys, F.explode(F.array(F.floor("position"), F.ceil("position"))).alias("rank"))
         found = _search(rows, span, targets, keys, False, small)
     finally:
-        rows.unpersist()
+        wide.unpersist()
     out = at.withColumns({"r0": F.floor("position"), "r1": F.ceil("position")})
     for i in ("0", "1"):
         out = null_safe_join(out, found.withColumnsRenamed({"rank": f"r{i}", "value": f"v{i}"}), [*keys, f"r{i}"])
@@ -164,6 +168,81 @@ def quantiles(
     return out.select(*keys, "prob", value.alias("value"))
 
 
+def hashes_at_ranks(df: DataFrame, targets: DataFrame, value: str = "h", by: list[str] = ()) -> DataFrame:
+    """``by..., rank, value``: the hash at each rank of ``targets(by..., rank, n)``, ``n`` being the rows of the group.
+
+    Hashes of :func:`hash_number` are spread evenly, so the one at a rank lies within a few deviations of its share of the
+    range: rows below that bracket are counted, and only those inside it (some square roots of a group) are sorted.
+    A rank that isn't in its bracket, as many equal keys can bring about, is looked up by narrowing.
+    """
+    by = list(by)
+    wanted = checkpointed(targets.filter("rank >= 0 and rank < n").select(*by, F.col("rank").cast("bigint").alias("rank"), "n").distinct())
+    share = (F.col("rank") + 0.5) / F.col("n")
+    wide = 8 * F.sqrt(share * (1 - share) / F.col("n")) + 8 / F.col("n")
+    top = float(HASH_RANGE)
+    bounds = wanted.select(*by, "rank", (F.greatest(share - wide, F.lit(0.0)) * top).cast("bigint").alias("lo"), (F.least(share + wide, F.lit(1.0)) * top).cast("bigint").alias("hi"))
+    rows = df.select(*by, F.col(value).alias("h")).filter("h IS NOT NULL")
+    if by:
+        each = null_safe_join(rows, small_side(bounds.groupBy(*by).agg(F.collect_set(F.struct("rank", "lo", "hi")).alias("_all"))), by)
+    else:
+        # One group: as many brackets as ranks were asked for.
+        listed = [F.struct(*[F.lit(r[c]).cast("bigint").alias(c) for c in ("rank", "lo", "hi")]) for r in bounds.collect()]
+        each = rows.withColumn("_all", F.array(*listed)) if listed else rows.limit(0).withColumn("_all", F.array(F.struct(*[F.lit(0).cast("bigint").alias(c) for c in ("rank", "lo", "hi")])))
+    met = each.select(*by, "h", F.explode(F.filter("_all", lambda r: F.col("h") <= r["hi"])).alias("r")).select(*by, "h", "r.rank", "r.lo")
+    # Rows below a bracket fold into one of their number; those inside stay.
+    inside = F.when(F.col("h") >= F.col("lo"), F.col("h"))
+    counted = met.groupBy(*by, "rank", inside.alias("h")).agg(F.count("*").alias("n"))
+    order = Window.partitionBy(*by, "rank").orderBy(F.asc_nulls_first("h")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    through = counted.withColumn("through", F.sum("n").over(order))
+    hit = (F.col("rank") < F.col("through")) & (F.col("rank") >= F.col("through") - F.col("n")) & F.col("h").isNotNull()
+    found = checkpointed(through.filter(hit).select(*by, "rank", F.col("h").alias("value")))
+    if found.count() == wanted.count():
+        return found
+    return values_at_ranks(df, value, wanted.select(*by, "rank"), by)
+
+
+def value_brackets(df: DataFrame, value: str, ranks: list[int], accuracy: int = 10_000) -> tuple[list[tuple[float, float]], int]:
+    """Ranges that hold the values at the given ranks, and the number of rows; one aggregate over all rows."""
+    n = df.count()
+    if not n:
+        return [], 0
+    slack = 2.5 / accuracy
+    shares = [x for r in ranks for x in (max(r / n - slack, 0.0), min((r + 1) / n + slack, 1.0))]
+    at = df.agg(F.percentile_approx(value, F.array(*[F.lit(x) for x in shares]), accuracy)).first()[0]
+    return [(at[2 * i], at[2 * i + 1]) for i in range(len(ranks))], n
+
+
+def places_of_ranks(df: DataFrame, value: str, ranks: list[int]) -> dict[int, tuple[float, int, int]]:
+    """``{rank: (value, rows below it, rows equal to it)}`` for some dozens of 0-based ranks, in three passes.
+
+    An approximate quantile brackets each rank; then rows below the brackets are counted and the distinct values inside
+    them, a few ten-thousandths of the table, are counted and summed up in order.
+    """
+    rows = df.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL and NOT isnan(v)")
+    brackets, n = value_brackets(rows, "v", ranks)
+    if not n:
+        return {}
+    ranges: list[list[float]] = []
+    for lo, hi in sorted(brackets):
+        if ranges and lo <= ranges[-1][1]:
+            ranges[-1][1] = max(ranges[-1][1], hi)
+        else:
+            ranges.append([lo, hi])
+    v = F.col("v")
+    below = rows.agg(*[F.count_if(v < lo).alias(f"b{i}") for i, (lo, _) in enumerate(ranges)]).first()
+    place = F.coalesce(*[F.when((v >= lo) & (v <= hi), i) for i, (lo, hi) in enumerate(ranges)])
+    counts = rows.withColumn("range", place).filter("range IS NOT NULL").groupBy("range", "v").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("range").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.element_at(F.array(*[F.lit(below[f"b{i}"]) for i in range(len(ranges))]), F.col("range") + 1)
+    start = counts.withColumn("start", base + F.coalesce(F.sum("n").over(order), F.lit(0)))
+    wanted = F.filter(F.array(*[F.lit(r).cast("bigint") for r in ranks]), lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("n")))
+    # At most a row per rank.
+    return {r["rank"]: (r["v"], r["start"], r["n"]) for r in start.select("v", "start", "n", F.explode(wanted).alias("rank")).collect()}
+
+
+HASH_RANGE = 1 << 60
+
+
 def hash_number(key: Column, seed: int = 42) -> Column:
     """A stable 60-bit number from a key; equal in any engine with MD5."""
     digest = F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(seed))))

@@ -13,7 +13,6 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as entry_point  # noqa: E402
 from adlumen import queries as registered  # noqa: E402
 
-SLOW = {"stratified_split", "strata", "cost_bins", "quantiles_narrowed", "uniform_sample"}
 SQL = registered.SQL
 
 
@@ -34,7 +33,7 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):
     from check_oracle import compare
 

@@ -47,6 +47,39 @@ def test_integer_ranks(spark):
     assert {r["rank"]: r["value"] for r in found.collect()} == {r: int(values[r]) for r in wanted}
 
 
+def test_hashes_at_ranks(spark):
+    """Even hashes by their brackets; equal keys, which no bracket holds, by narrowing."""
+    df = spark.range(6000).select((F.col("id") % 3).alias("g"), ranking.hash_number(F.col("id")).alias("h"))
+    values = {g: sorted(r["h"] for r in df.filter(F.col("g") == g).collect()) for g in range(3)}
+    wanted = [(g, r, 2000) for g in range(3) for r in (-1, 0, 7, 900, 1998, 1999, 2000)]
+    found = ranking.hashes_at_ranks(df, spark.createDataFrame(wanted, "g long, rank long, n long"), "h", ["g"])
+    assert {(r["g"], r["rank"]): r["value"] for r in found.collect()} == {(g, r): values[g][r] for g, r, _ in wanted if 0 <= r < 2000}
+    same = df.withColumn("h", F.when(F.col("g") == 1, F.lit(5)).otherwise(F.col("h")))
+    again = ranking.hashes_at_ranks(same, spark.createDataFrame([(1, 1500, 2000), (2, 900, 2000)], "g long, rank long, n long"), "h", ["g"])
+    assert {(r["g"], r["value"]) for r in again.collect()} == {(1, 5), (2, values[2][900])}
+
+
+def test_places_of_ranks(spark):
+    rng = np.random.default_rng(8)
+    values = np.sort(np.r_[np.round(rng.lognormal(3, 2, 4000), 1), np.zeros(2500), [-5.0, 1e300]])
+    df = spark.createDataFrame([(float(v),) for v in rng.permutation(values)] + [(None,), (float("nan"),)], "v double")
+    ranks = [0, 1, 2499, 2500, 2501, 3000, 5000, len(values) - 1]
+    want = {r: (values[r], int((values < values[r]).sum()), int((values == values[r]).sum())) for r in ranks}
+    assert ranking.places_of_ranks(df, "v", ranks) == want
+    assert ranking.places_of_ranks(df.filter("v is null"), "v", ranks) == {}
+
+
+def test_quantiles_of_many_columns_and_no_rows(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 4))
+    df = spark.createDataFrame([(str(i % 2), *map(float, r), None) for i, r in enumerate(x)], "g string, `a b` double, b double, c double, d double, e double")
+    for small in (0, 10**6):
+        got = {(r["g"], r["column"], r["prob"]): r["value"] for r in ranking.quantiles(df, ["a b", "c", "e"], [0.1, 0.5], ["g"], small=small).collect()}
+        want = {(str(g), c, p): np.quantile(x[g::2, k], p) for g in (0, 1) for c, k in (("a b", 0), ("c", 2)) for p in (0.1, 0.5)}
+        assert got == pytest.approx(want)
+        assert ranking.quantiles(df.filter("false"), ["b"], [0.5], small=small).count() == 0
+
+
 def test_exact_sample(spark):
     df = spark.range(5000).withColumn("k", F.col("id").cast("string"))
     a = {r["id"] for r in split.exact_sample(df, 700, "k").collect()}
