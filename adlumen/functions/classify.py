@@ -17,16 +17,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 Mapping = Sequence[tuple[str, str]]
 
-# A mapping becomes one expression, so it must be a dictionary and not data.
-MAX_KEYWORDS = 5_000
+# Up to this many keywords a mapping is one expression; a longer one stays a table and is joined.
+MAX_KEYWORDS = 1_000
 
 
-def load_mapping(df: DataFrame) -> list[tuple[str, str]]:
-    """Read a ``keyword, business_type, priority`` table in priority order."""
-    rows = df.select("keyword", "business_type", "priority").orderBy("priority").limit(MAX_KEYWORDS + 1).collect()
-    if len(rows) > MAX_KEYWORDS:
-        raise ValueError(f"keyword mapping has more than {MAX_KEYWORDS} entries")
-    return [(r.keyword, r.business_type) for r in rows]
+def load_mapping(df: DataFrame) -> list[tuple[str, str]] | DataFrame:
+    """A ``keyword, business_type, priority`` table in priority order; a long one as the table it is."""
+    rows = df.select("keyword", "business_type", "priority").orderBy("priority", "business_type").limit(MAX_KEYWORDS + 1).collect()
+    return df if len(rows) > MAX_KEYWORDS else [(r.keyword, r.business_type) for r in rows]
 
 
 def mapping_frame(spark: SparkSession, mapping: Mapping) -> DataFrame:

@@ -21,14 +21,18 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
 
 
 def label_distinct(
-    df: DataFrame, name: Column, mapping: kw.Mapping, output: str, mode: str = "word", max_names: int = MAX_BROADCAST_ROWS
+    df: DataFrame, name: Column, mapping: kw.Mapping | DataFrame, output: str, mode: str = "word", max_names: int = MAX_BROADCAST_ROWS
 ) -> DataFrame:
-    """Classify each distinct name once and look the label up per row.
+    """Classify each distinct name once and look the label up per row; a mapping that is a table is joined.
 
     Worth it for long mappings: the cost per row is one hash lookup.  Names are
     read in a pass of their own.  With over ``max_names`` of them the label is
     worked out per row instead, so the table is never shuffled.
     """
+    if isinstance(mapping, DataFrame):
+        from adlumen.operators.dictionary import classify_names
+
+        return classify_names(df, name, mapping, output, mode)
     named = df.withColumn("_name", name)
     distinct = checkpointed(named.select("_name").distinct().limit(max_names + 1))
     if distinct.count() > max_names:

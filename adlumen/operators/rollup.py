@@ -9,6 +9,7 @@ from adlumen import names
 from adlumen.functions import classify as kw
 from adlumen.functions.dates import duration_from_dates, duration_from_text
 from adlumen.functions.text import squeeze
+from adlumen.operators.dictionary import classify_names
 
 KEY = "campaign_id"
 
@@ -49,9 +50,11 @@ def campaign_type(counts: DataFrame, mapping: kw.Mapping) -> DataFrame:
     once each after counting, and types are folded into a small map per
     campaign, which is bounded by the labels of the mapping.
     """
-    typed = counts.filter(F.col(KEY).isNotNull()).withColumn(
-        "business_type", kw.classify(F.col("profile_norm"), mapping)
-    )
+    known = counts.filter(F.col(KEY).isNotNull())
+    if isinstance(mapping, DataFrame):
+        typed = classify_names(known, F.col("profile_norm"), mapping, "business_type")
+    else:
+        typed = known.withColumn("business_type", kw.classify(F.col("profile_norm"), mapping))
     # Most rows first, then the smallest name; a missing name comes last.
     rank = F.struct(-F.col("n_rows"), F.col("profile_norm").isNull(), F.col("profile_norm"))
     per_type = typed.groupBy(KEY, "business_type").agg(F.sum("n_rows").alias("n_rows"), F.min(rank).alias("best"))
@@ -92,7 +95,7 @@ def campaign_rollup(rows: DataFrame, mapping: kw.Mapping, keep_id: bool = True)
     ``rows`` carry canonical names and no duplicates.
     """
     out = with_duration(campaign_metrics(rows)).drop("campaign_start", "campaign_end")
-    if "profile" in rows.columns and mapping:
+    if "profile" in rows.columns and (isinstance(mapping, DataFrame) or mapping):
         out = out.join(type_confidence(rows, mapping), KEY, "left")
     else:
         out = out.withColumns({"business_type": F.lit(None).cast("string"), "btype_confidence": F.lit(None).cast("double")})

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from adlumen import names
 from adlumen.functions import classify as kw, text
-from adlumen.operators import columns, dedupe, masks, metrics, profile, rollup
+from adlumen.operators import columns, dedupe, joins, masks, metrics, profile, rollup
 from adlumen.plans import campaign
 from adlumen.queries.registry import ADS, COPIES, DISTINCT, ROLLUP, SQUEEZED, TYPED, query
 from adlumen.sources import extract, merge, scan
@@ -364,7 +364,7 @@ def dictionary_join(spark, sf):
     mapping = [("building", "real_estate"), ("machinery", "industrial_manufacturing"), ("furniture", "retail_brand")]
     rows = ad_rows(spark, sf).select("row_key", "profile")
     keyed = rows.withColumn("company", kw.longest_prefix(F.lower("profile"), [k for k, _ in mapping])).drop("profile")
-    # At most classify.MAX_KEYWORDS rows.
+    # Three rows.
     lookup = kw.mapping_frame(spark, mapping).select(F.col("keyword").alias("company"), "business_type")
     return keyed.join(F.broadcast(lookup), "company").select("row_key", "company", "business_type")
 
@@ -440,3 +440,45 @@ def best_per_group(spark, sf):
         .agg(F.min(F.struct((-F.col("o_totalprice")).alias("p"), "o_orderkey")).alias("b"))
         .select("b.o_orderkey", (-F.col("b.p")).alias("o_totalprice"), F.lit(1).alias("n"))
     )
+
+
+# ------------------------------------------------------------- keyword tables
+_NAMES = "names AS (SELECT c_custkey, lower(c_mktsegment || '  ' || c_name) AS name FROM customer)"
+_KEYWORDS = {
+    "prefix": "substr(lower(c_mktsegment || '  ' || c_name), 1, CAST(16 + c_custkey % 14 AS INTEGER))",
+    "word": "CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN substr(c_name, 10) ELSE c_mktsegment END",
+    "substring": "substr(c_name, CAST(12 + c_custkey % 5 AS INTEGER))",
+}
+_HITS = {"prefix": "starts_with(name, k)", "word": r"CASE WHEN contains(name, k) THEN regexp_matches(name, '\b' || k || '\b') ELSE false END", "substring": "contains(name, k)"}
+
+
+def _dictionary_sql(mode: str) -> str:
+    return f"""WITH {_NAMES},
+d AS (SELECT DISTINCT lower({_KEYWORDS[mode]}) AS k, c_custkey * 7919 % 10007 AS priority, 't' || (c_custkey % 9) AS label FROM customer),
+hits AS (SELECT c_custkey, label, row_number() OVER (PARTITION BY c_custkey ORDER BY priority, label) AS r FROM names JOIN d ON {_HITS[mode]})
+SELECT names.c_custkey, coalesce(label, 'unknown') AS business_type FROM names LEFT JOIN hits ON names.c_custkey = hits.c_custkey AND r = 1"""
+
+
+def _dictionary(spark, sf, mode):
+    """Account names under a keyword table as long as the customer table."""
+    customers = table(spark, sf, "customer")
+    words = customers.select(
+        F.expr(_KEYWORDS[mode]).alias("keyword"), F.concat(F.lit("t"), F.col("c_custkey") % 9).alias("business_type"), (F.col("c_custkey") * 7919 % 10007).alias("priority")
+    )
+    named = customers.select("c_custkey", F.lower(F.concat("c_mktsegment", F.lit("  "), "c_name")).alias("name"))
+    return joins.label_distinct(named, F.col("name"), words, "business_type", mode).select("c_custkey", "business_type")
+
+
+@query(_dictionary_sql("prefix"))
+def dictionary_prefix(spark, sf):
+    return _dictionary(spark, sf, "prefix")
+
+
+@query(_dictionary_sql("word"))
+def dictionary_word(spark, sf):
+    return _dictionary(spark, sf, "word")
+
+
+@query(_dictionary_sql("substring"))
+def dictionary_substring(spark, sf):
+    return _dictionary(spark, sf, "substring")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from adlumen.functions import classify as kw
 from adlumen.functions.text import export_prefix, storage_slug
+from adlumen.sources.session import checkpointed, small_side
 
 
 def assign_companies(df: DataFrame, mapping: kw.Mapping, mode: str = "longest", profile: str = "profile") -> DataFrame:
@@ -52,16 +53,21 @@ def export_companies(
     mode: str = "longest",
     rows_per_file: int = 5_000_000,
 ) -> None:
-    """Write one folder per company in one pass over the table.
+    """Write one folder per company, in about rows / ``rows_per_file`` files each.
 
-    The write needs no shuffle.  A company holding most rows is spread over
-    all tasks, and long files are cut at ``rows_per_file``.
+    Companies are counted first; the rows of one are dealt to as many salts as it will have files, so a company with most
+    rows is spread over that many tasks, and a small one is a single file whatever tasks its rows came from.
     """
     out = assign_companies(df, mapping, mode).withColumn("company_slug", storage_slug(F.col("company")))
+    files = checkpointed(out.groupBy("company_slug").agg(F.ceil(F.count("*") / rows_per_file).cast("int").alias("_files")))
+    total = files.agg(F.sum("_files")).first()[0] or 1
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.monotonically_increasing_id()), F.col("_files"))
+    # Stored before it is dealt: a task that runs again must not deal its rows otherwise.
+    salted = checkpointed(out.join(small_side(files), "company_slug").withColumn("_salt", salt)) if total > files.count() else out.withColumn("_salt", F.lit(0))
     (
-        out.write.mode("errorifexists")
+        salted.repartition(total, "company_slug", "_salt").drop("_files", "_salt").write.mode("errorifexists")
         .option("compression", "zstd")
-        .option("maxRecordsPerFile", rows_per_file)
+        .option("maxRecordsPerFile", rows_per_file + rows_per_file // 2)
         .partitionBy("company_slug")
         .parquet(output)
     )

@@ -11,31 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from adlumen.operators.dedupe import keyed_rows, new_rows
-from adlumen.sources.session import small_side
+from adlumen.streaming.keystore import KeyStore
 
 
 def append_new_rows(batch: DataFrame, batch_id: int, rows: str, keys: str, columns: list[str] | None = None) -> None:
-    """Append a batch's new rows and keys under folders named by batch.
+    """Append a batch's new rows under a folder named by the batch, and its keys to the store.
 
-    A batch that is run again after a failure overwrites its own folders and
-    looks only at the keys of earlier batches.
+    A batch that is run again after a failure overwrites its own folder and
+    keys, and looks only at the keys of earlier batches.
     """
-    spark = batch.sparkSession
-    schema = "row_key string, batch long"
-    # The folder exists from the first batch on.
-    spark.createDataFrame([], "row_key string").write.mode("overwrite").parquet(f"{keys}/batch=-1")
-    seen = spark.read.schema(schema).parquet(keys).filter(f"batch < {int(batch_id)}")
+    store = KeyStore(batch.sparkSession, keys)
     keyed = keyed_rows(batch, columns).persist()
-    # The history grows without end, so it is filtered by the batch and not
-    # shuffled: only keys that occur in the batch go on.
-    known = seen.join(small_side(keyed.select("row_key")), "row_key", "left_semi")
-    fresh = new_rows(keyed, known).persist()
+    fresh = new_rows(keyed, store.known(keyed.select("row_key"), batch_id)).persist()
     try:
         fresh.drop("row_key").write.mode("overwrite").option("compression", "zstd").parquet(f"{rows}/batch={batch_id}")
-        fresh.select("row_key").write.mode("overwrite").parquet(f"{keys}/batch={batch_id}")
+        store.add(batch_id, fresh.select("row_key"))
     finally:
         fresh.unpersist()
         keyed.unpersist()
+    # The batch just written may still be run again.
+    store.compact(batch_id)
 
 
 def dedupe_new_files(

@@ -69,6 +69,22 @@ def test_compaction_uses_the_first_schema(spark, tmp_path):
     assert out.count() == 3  # a value that does not fit becomes null
 
 
+def test_shards_are_read_by_schema(spark, tmp_path):
+    """As many scans as schemas; lost cells and columns are counted; wider types keep every value."""
+    kinds = ["CAST(id AS int) a", "id + 30000000000 a, 'x' b", "CAST(id AS string) || 'z' a", "id * 0.5 a, id c"]
+    paths = []
+    for i in range(24):
+        spark.range(3).selectExpr(*kinds[i % 4].split(", ")).coalesce(1).write.parquet(path := str(tmp_path / f"s{i:02d}"))
+        paths.append(path)
+    wide, report = merge.merge_shards(spark, paths, str(tmp_path / "wide"), files=2)
+    assert (report.shards, report.scans, report.nulled_cells, report.dropped_columns) == (24, 4, 0, [])
+    assert wide.schema.simpleString() == "struct<a:string,b:string,c:bigint>" and wide.filter("a IS NULL").count() == 0 and wide.count() == 72
+    first, report = merge.merge_shards(spark, paths, str(tmp_path / "first"), types="first")
+    assert first.schema.simpleString() == "struct<a:int>" and report.dropped_columns == ["b", "c"]
+    assert report.nulled_cells == 36 == first.filter("a IS NULL").count()
+    assert plan_of(merge._gathered(spark, merge.catalogue(spark, paths), first.schema)).count("FileScan") == 4
+
+
 def test_export_one_pass(spark, tmp_path):
     df = spark.createDataFrame([("Urban A",), ("|urban park b",), ("urban park",), ("suburban",), (None,)], "profile string")
     mapping = [("urban", "estate"), ("Urban Park", "leisure")]
@@ -76,6 +92,12 @@ def test_export_one_pass(spark, tmp_path):
     out = {(r["company_slug"], r["business_type"]): r["count"] for r in spark.read.parquet(str(tmp_path / "e")).groupBy("company_slug", "business_type").count().collect()}
     assert out == {("urban", "estate"): 1, ("urban-park", "leisure"): 2}
     assert "Exchange" not in plan_of(extract.assign_companies(df, mapping))
+    # A company's files follow its rows, not the tasks they came from.
+    many = spark.range(1000, numPartitions=7).select(F.when(F.col("id") < 900, "urban park").otherwise("urban").alias("profile"))
+    extract.export_companies(many, mapping, str(tmp_path / "m"), rows_per_file=150)
+    files = {c: [f for f in os.listdir(tmp_path / "m" / f"company_slug={c}") if f.endswith(".parquet")] for c in ("urban", "urban-park")}
+    assert len(files["urban"]) == 1 and 4 <= len(files["urban-park"]) <= 9
+    assert spark.read.parquet(str(tmp_path / "m")).count() == 1000
     assert {r["company"]: r["n_rows"] for r in extract.company_counts(df, mapping, "all").collect()} == {"urban": 3, "urban park": 2}
 
 
@@ -138,3 +160,26 @@ def test_incremental_dedupe(spark, tmp_path):
     for _ in range(2):
         incremental.append_new_rows(batch, 5, paths["rows"], paths["keys"])
     assert sorted(r["id"] for r in spark.read.parquet(paths["rows"]).collect()) == [1, 2, 3, 4, 9]
+
+
+def test_key_store_reads_what_may_match(spark, tmp_path):
+    """New keys open no old folder, known ones only theirs, and merging batches changes nothing."""
+    from adlumen.streaming.keystore import KeyStore
+
+    def keys(lo, hi):
+        return spark.range(lo, hi, numPartitions=2).select(F.md5(F.col("id").cast("string")).alias("row_key"))
+
+    store = KeyStore(spark, str(tmp_path), buckets=4, merge=4)
+    opened = []
+    for b in range(6):
+        opened.append(store.folders(keys(500 * b, 500 * b + 500), b).count())
+        store.add(b, keys(500 * b, 500 * b + 500))
+    assert sum(opened) <= 1  # a false hit is rare
+    store.add(5, keys(2500, 3000))
+    assert store.batches() == [0, 1, 2, 3, 4, 5]
+    few = keys(700, 703)
+    assert 1 <= store.folders(few, 6).count() <= 6 and store.known(few, 6).count() == 3
+    assert store.known(few, 1).count() == 0 and store.known(keys(2990, 3010), 6).count() == 10
+    store.compact(5)
+    assert store.batches() == [4, 5]
+    assert store.known(keys(0, 3100), 6).count() == 3000 and store.known(keys(0, 3100), 5).count() == 2500
