@@ -43,6 +43,14 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that isn't there yet, whatever the case of letters."""
+    there = {c.lower() for c in columns}
+    while name.lower() in there:
+        name = f"_{name}"
+    return name
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of a size fit for long texts; by default a batch has 10,000 rows however long they are."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")

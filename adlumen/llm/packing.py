@@ -31,14 +31,16 @@ class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit numbers, by ``tokenizers`` and the vocabulary at ``path``.
 
     ``ranks`` names the same vocabulary for ``tiktoken``, which takes a third of the time.  It is used for texts of
-    common European letters, digits and marks only, where both libraries class every character alike (tested).
+    common European letters, digits and marks only, where both libraries class every character alike (tested), and without
+    a special token's string.
     """
 
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Their strings in a text are single ids, which the quick way would not make.
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.quick = None
         if ranks:
             import tiktoken
@@ -48,7 +50,7 @@ class Encoder:
             self.quick = tiktoken.Encoding("quick", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if self.quick and not _OTHER_CHARACTER.search(text):
+        if self.quick and not _OTHER_CHARACTER.search(text) and not any(t in text for t in self.special):
             return np.array(self.quick.encode_ordinary(text), dtype="<u4").tobytes()
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 

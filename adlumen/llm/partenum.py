@@ -26,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from adlumen.llm.common import U, bucket_count, components, dealt, gram_hashes, mixed, packed_ids, scratch, stored, unpacked_ids, word_hashes
+from adlumen.llm.common import U, bucket_count, components, dealt, fresh, gram_hashes, mixed, packed_ids, scratch, stored, unpacked_ids, word_hashes
 
 N2, K2 = 3, 1
 ELEMENTS = -1
@@ -35,8 +35,10 @@ FLUSH = 600_000
 LISTED = 200_000
 # Elements of sets a task keeps between pairs: 16 MB.
 HELD_ELEMENTS = 2_000_000
-# Members of other components that a class tries before it is compared with all of them.
-TRIES = 6
+# Times that neighbours in a random order of each group are tried before all members are compared.
+TRIES = 1
+# Cells of a sketch; members of a group that one task compares with as many others; pairs judged at once.
+CELLS, BLOCK_MEMBERS, PAIRS = 256, 1024, 8192
 
 
 def band_of(size: int) -> int:
@@ -105,6 +107,15 @@ def set_id(elements: np.ndarray) -> int:
     return int(mixed(np.array([mixed(elements, 0xFACE).sum(dtype=U)]), len(elements))[0].astype(np.int64)) if len(elements) else 0
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    """How many elements fall in each of ``CELLS`` cells; empty where a cell has more than a byte holds.
+
+    Two sets can't share more than the sum of the lesser counts of all cells.
+    """
+    counts = np.bincount((mixed(elements, 0x5EED) % U(CELLS)).astype(np.int64), minlength=CELLS)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
 def _texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
@@ -248,7 +259,7 @@ def _listed(ids: DataFrame) -> DataFrame:
 
 
 def class_texts(classes: DataFrame, needed: DataFrame, docs: DataFrame, id_column: str, text_column: str, words: int) -> DataFrame:
-    """``class_id, text`` of one document of each needed class."""
+    """``class_id, text, sketch`` of one document of each needed class."""
     wanted = stored(classes.join(needed, "class_id", "left_semi").groupBy("class_id").agg(F.min("doc_id").alias("doc_id")))
     listed = _listed(wanted.select("doc_id").distinct())
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
@@ -260,11 +271,12 @@ def class_texts(classes: DataFrame, needed: DataFrame, docs: DataFrame, id_colum
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids = [set_id(s) for s in shingle_sets(_texts(part.column(0)), words)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), part.column(0)], names=["class_id", "text"])
+                sets = shingle_sets(_texts(part.column(0)), words)
+                ids, sketches = pa.array([set_id(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, part.column(0), sketches], names=["class_id", "text", "sketch"])
 
     # Rows that repeat a doc_id may bring a text of another class, or the same one again.
-    found = rows.select("text").mapInArrow(run, "class_id long, text string")
+    found = rows.select("text").mapInArrow(run, "class_id long, text string, sketch binary")
     return found.join(wanted.select("class_id"), "class_id", "left_semi").dropDuplicates(["class_id"])
 
 
@@ -285,6 +297,108 @@ def _merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
     return moved.unionByName(across.join(roots, "node", "left_anti").select("node", "root"))
 
 
+class _Members:
+    """Rows of a table of group members as arrays."""
+
+    def __init__(self, table: pa.Table, threshold: Fraction):
+        self.up, self.down = threshold.numerator, threshold.denominator
+        self.key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("group_id", "x", "y")])
+        self.member, self.root, self.size = (table.column(c).to_numpy().astype(np.int64) for c in ("member", "root", "n_elements"))
+        self.first = table.column("first").to_numpy(zero_copy_only=False).astype(bool)
+        blobs = table.column("sketch").to_pylist()
+        self.some = np.array([len(b) == CELLS for b in blobs], dtype=bool)
+        self.sketches = np.frombuffer(b"".join(b if len(b) == CELLS else bytes(CELLS) for b in blobs), dtype=np.uint8).reshape(-1, CELLS)
+
+    def alike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Of pairs of rows of different components those that neither sizes nor sketches rule out, by their classes."""
+        lo, hi = np.minimum(self.size[i], self.size[j]), np.maximum(self.size[i], self.size[j])
+        unknown = hi == (1 << 20) - 1  # over the field's range
+        near = (self.root[i] != self.root[j]) & ((lo * self.down >= hi * self.up) | unknown)
+        i, j, unknown, out = i[near], j[near], unknown[near], []
+        for at in range(0, len(i), PAIRS):
+            p, q = i[at : at + PAIRS], j[at : at + PAIRS]
+            most = np.minimum(self.sketches[p], self.sketches[q]).sum(axis=1, dtype=np.int64)
+            may = (most * (self.up + self.down) >= self.up * (self.size[p] + self.size[q])) | ~(self.some[p] & self.some[q]) | unknown[at : at + PAIRS]
+            a, b = self.member[p[may]], self.member[q[may]]
+            out.append(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1))
+        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
+
+    def neighbours(self) -> np.ndarray:
+        """Pairs of rows that follow each other in a group."""
+        i = np.flatnonzero((self.key[:, 1:] == self.key[:, :-1]).all(axis=0))
+        return self.alike(i, i + 1)
+
+    def every(self) -> np.ndarray:
+        """All pairs of a group, across its two sides where it has two."""
+        at = np.append(np.flatnonzero(np.concatenate(([True], (self.key[:, 1:] != self.key[:, :-1]).any(axis=0)))), len(self.member))
+        found, held, number = [], [], 0
+        for lo, hi in zip(at, at[1:]):
+            first = self.first[lo:hi]
+            left, right = (np.flatnonzero(first), np.flatnonzero(~first)) if first.any() and not first.all() else (None, None)
+            if left is None:
+                i, j = np.triu_indices(hi - lo, 1)
+            else:
+                i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+            held.append((lo + i, lo + j))
+            number += len(i)
+            if number >= 1 << 20:
+                found.append(self.alike(*(np.concatenate(h) for h in zip(*held))))
+                held, number = [], 0
+        if held:
+            found.append(self.alike(*(np.concatenate(h) for h in zip(*held))))
+        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), dtype=np.int64)
+
+
+def candidates(placed: DataFrame, texts: DataFrame, threshold: Fraction, salt: int | None = None) -> DataFrame:
+    """Distinct pairs ``a, b`` of classes that share a group, are in different components and may be alike.
+
+    The members of a group meet in one task, those of a large one in blocks of about ``BLOCK_MEMBERS``, each with each.
+    Pairs are formed and judged there, by their sizes and sketches; only those that may be alike leave it.  With a
+    ``salt`` only neighbours in a random order of each block are paired, which costs no more than the members.
+    """
+    sizes = placed.groupBy("group_id").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"))
+    sketched = placed.join(texts.select(F.col("class_id").alias("member"), "sketch"), "member").join(sizes, "group_id")
+    own = F.pmod(F.xxhash64("member", F.lit(salt or 0)), F.col("blocks")).cast("int")
+    order = F.xxhash64(F.lit(salt), "member") if salt is not None else F.lit(0)
+    dealt = sketched.withColumns({"own": own, "rank": order})
+    dealt = dealt.withColumn("other", F.col("own") if salt is not None else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(
+        "group_id", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).alias("first"),
+        "rank", "member", "root", "n_elements", "sketch",
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        found: list[np.ndarray] = []
+
+        def judge(table: pa.Table) -> None:
+            members = _Members(table, threshold)
+            found.append(members.every() if salt is None else members.neighbours())
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = (table if rest is None else pa.concat_tables([rest, table])).combine_chunks()
+            # The last group may go on in the next batch.
+            key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("group_id", "x", "y")])
+            ended = np.flatnonzero((key != key[:, -1:]).any(axis=0))
+            whole = int(ended[-1]) + 1 if len(ended) else 0
+            if whole:
+                judge(table.slice(0, whole).combine_chunks())
+            rest = table.slice(whole).combine_chunks()
+            if sum(map(len, found)) > 100_000:
+                pairs = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                found.clear()
+        if rest is not None and rest.num_rows:
+            judge(rest)
+        if found:
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    by_group = dealt.repartition("group_id", "x", "y").sortWithinPartitions("group_id", "x", "y", "rank", "member")
+    return by_group.mapInArrow(run, "a long, b long").distinct()
+
+
 def jaccard_components(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row: see :func:`joined`."""
     return joined(docs, **options).select("doc_id", "n_shingles", "component_id")
@@ -305,9 +419,9 @@ def joined(
     that shares fewer with all others is dropped, and of the rest each may pass over its ``least - 1`` commonest ones, as
     one that is left is still shared (prefix filter; the order by group size is the same for all).  So what many
     documents have in common by a passage or a line brings no pairs.  Then each class is checked against the smallest
-    class it still shares a signature with, next against ``TRIES`` others of other components, and after that every two
-    classes that share one and are not in the same component yet; a family of thousands of near copies that are mostly
-    alike costs a few pairs for each member.
+    class it still shares a signature with, next ``TRIES`` times against neighbours of other components in a random order,
+    and after that every two classes that share one, are not in the same component yet and whose sizes and sketches allow
+    it (see :func:`candidates`); a family of thousands of near copies that are mostly alike costs a few pairs for each member.
     """
     buckets = bucket_count(docs, text_column)
     classes = stored(shingled(docs, words, id_column, text_column))
@@ -324,25 +438,15 @@ def joined(
     sure = stored(linked(first, texts, words, threshold))
     roots = stored(components(sure))
     placed = stored(_torn(left, roots))
-    # What is left apart tries a few members of other components first, others for each salt.
-    tried = None
+    # What is left apart tries a few members of other components first, others each time.
+    tried = first
     for salt in range(TRIES):
-        rank = F.xxhash64("member", F.lit(salt))
-        lead = placed.groupBy("group_id").agg(F.min(F.struct(rank.alias("h"), F.col("member").alias("lead"), F.col("root").alias("lead_root"))).alias("l"))
-        best = placed.join(lead, "group_id").filter("root != l.lead_root").groupBy("member").agg(F.min("l").alias("l"))
-        pair = best.select(F.least("member", "l.lead").alias("a"), F.greatest("member", "l.lead").alias("b"))
-        tried = pair if tried is None else tried.unionByName(pair)
-    tried = stored(tried.distinct())
-    roots = stored(_merged(roots, stored(linked(tried, texts, words, threshold))))
-    placed = stored(_torn(left, roots))
-    other = placed.select("group_id", F.col("member").alias("b"), F.col("root").alias("other"), F.col("n_elements").alias("m"))
-    # Sets whose sizes alone rule out the similarity are no pair; sizes over the field's range (about a million) never do.
-    alike = F.expr(f"least(n_elements, m) * {threshold.denominator} >= greatest(n_elements, m) * {threshold.numerator} or greatest(n_elements, m) = {(1 << 20) - 1}")
-    rest = (
-        placed.join(other, "group_id").filter("member < b and root != other").filter(alike).select(F.col("member").alias("a"), "b").distinct()
-        .join(first.unionByName(tried), ["a", "b"], "left_anti")
-    )
-    roots = stored(_merged(roots, stored(linked(stored(rest), texts, words, threshold))))
+        pairs = stored(candidates(placed, texts, threshold, salt).join(tried, ["a", "b"], "left_anti"))
+        tried = tried.unionByName(pairs)
+        roots = stored(_merged(roots, stored(linked(pairs, texts, words, threshold))))
+        placed = stored(_torn(left, roots))
+    rest = stored(candidates(placed, texts, threshold).join(tried, ["a", "b"], "left_anti"))
+    roots = stored(_merged(roots, stored(linked(rest, texts, words, threshold))))
     final = stored(
         classes.filter("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("least"))
         .join(roots.select(F.col("node").alias("class_id"), F.col("root").alias("r")), "class_id", "left")
@@ -358,16 +462,18 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, with one row of each group of near duplicates: that with the smallest id.
 
     Rows without words are in no group and all stay.  Of rows alike in id and text one stays; of rows that share the
-    smallest id with different texts, the one with the smaller hash.  A null id is the largest.
+    smallest id with different texts, the one with the smaller hash.  A null id is the largest.  Other columns may have any
+    names; an empty table gives an empty result.
     """
     found = stored(joined(docs, **options).filter("root is not null"))
     rank = F.struct(F.coalesce("doc_id", F.lit(np.iinfo(np.int64).max)).alias("doc_id"), "uid")
     first = found.groupBy("root").agg(F.min(rank).alias("first")).select("root", F.col("first.uid").alias("first"))
-    gone = stored(found.join(first, "root").filter("uid != first").select(F.col("uid").alias("_uid")).distinct())
-    again = stored(found.groupBy("uid").count().filter("count > 1").select(F.col("uid").alias("_uid")))
-    uid = _uid(docs, options.get("id_column", "doc_id"), options.get("text_column", "text"))
-    rows = docs.join(_listed(gone), uid == gone["_uid"], "left_anti")
+    name = fresh("uid", docs.columns)
+    gone = stored(found.join(first, "root").filter("uid != first").select(F.col("uid").alias(name)).distinct())
+    again = stored(found.groupBy("uid").count().filter("count > 1").select(F.col("uid").alias(name)))
+    named = docs.withColumn(name, _uid(docs, options.get("id_column", "doc_id"), options.get("text_column", "text")))
+    rows = named.join(_listed(gone), name, "left_anti")
     if again.isEmpty():
-        return rows
-    alike = rows.join(_listed(again), uid == again["_uid"]).dropDuplicates(["_uid"]).drop("_uid")
-    return rows.join(_listed(again), uid == again["_uid"], "left_anti").unionByName(alike)
+        return rows.select(*[named[c] for c in docs.columns])
+    alike = rows.join(_listed(again), name, "left_semi").dropDuplicates([name])
+    return rows.join(_listed(again), name, "left_anti").unionByName(alike).drop(name).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -160,8 +160,9 @@ def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_colu
         return pd.Series(list(statistics([t.encode() for t in text])))
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    # At most ``fit_rows`` ids and numbers are broadcast.
-    sample = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", measured("text").alias("x")).limit(2 * fit_rows).toPandas()
+    # At most ``fit_rows`` ids and numbers are broadcast; of rows that share an id the least text stands for it.
+    one = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    sample = one.select("doc_id", "y", measured("text").alias("x")).toPandas()
     sample = sample.sort_values("doc_id")
     return fit(np.stack(sample["x"].to_numpy()).astype(float) if len(sample) else np.zeros((0, len(FEATURES))), sample["y"].to_numpy())
 
@@ -189,6 +190,10 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that score ``threshold`` or more."""
+    """The rows of ``docs``, all columns, that score ``threshold`` or more.
+
+    Null and empty texts have statistics of zero; rows that repeat an id or a text are judged each for itself; other columns
+    may have any names; an empty table gives an empty result, and without labels no row reaches a threshold over one half.
+    """
     model = fitted(docs, labels, id_column=id_column, text_column=text_column, **options)
     return docs.filter(score(model, F.col(text_column)) >= threshold)

@@ -1,14 +1,15 @@
 """Information-theoretic sanitisation of personal data (after Sanchez and Batet, 2016), with DataFrame operations only.
 
-Entities are what the base patterns find: email and network addresses, card and phone numbers.  Over the whole corpus, a
-term that stands near an entity reveals it as strongly as their pointwise mutual information says, measured against the
+Entities are what the base patterns find, as they are and by what several share: the domain of an email address, the
+first half of a network address, the issuer of a card, the first digits of a phone number.  Over the whole corpus, a term
+that stands near an entity reveals it as strongly as their pointwise mutual information says, measured against the
 information content of the entity itself:
 
-    disclosure(t, e) = log2(df(t, e) N / (df(t) df(e))) / log2(N / df(e)),
+    disclosure(t, e) = log2(p(e | t) N / df(e)) / log2(N / df(e)),   p(e | t) = df(t, e) / df(t) * c / (c + ``DOUBT``),
 
-which is 1 for a term found in documents of the entity only.  Terms at or over ``GENERALISE`` are marked in the documents of
-that entity, and generalised to a placeholder, or removed at ``REMOVE`` and more.  A term must have been seen near the entity
-in ``CONTEXTS`` different surroundings, so copies of one passage prove nothing.
+where c counts the different surroundings they were seen in: copies of one passage are one, and one is half a proof, so
+the measure holds for entities of a single document too.  Terms at or over ``GENERALISE`` are marked in the documents of
+that entity, and generalised to a placeholder, or removed at ``REMOVE`` and more.
 
 Places come from pieces between the matches: their lengths add up in a window over one document's matches.  The patterns
 are written with possessive quantifiers, so a long run of any character is scanned once.
@@ -20,7 +21,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from adlumen.llm.common import stored
+from adlumen.llm.common import fresh, stored
 
 # The base patterns by kind, in the order of the spans.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -34,7 +35,7 @@ _MAY_HOLD = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"
 _PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 NEAR_WORDS, NEAR_CHARACTERS = 5, 160
 LEAST_LETTERS = 3
-GENERALISE, REMOVE, CONTEXTS = 0.8, 0.999, 3
+GENERALISE, REMOVE, DOUBT = 0.8, 0.999, 1.0
 WORD = rf"\p{{L}}{{{LEAST_LETTERS},}}"
 SPAN_LIST_BYTES = 32 << 20
 
@@ -109,23 +110,33 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)
 
 
-def disclosing_terms(rows: DataFrame, spans: DataFrame, generalise: float = GENERALISE, contexts: int = CONTEXTS) -> DataFrame:
+def _entities(kind: Column, value: Column) -> Column:
+    """An entity's name, and that of the group it belongs to."""
+    digits = _digits(value)
+    own = F.when(kind.isin("card", "phone"), digits).otherwise(F.lower(value))
+    shared = (
+        F.when(kind == "email", F.substring_index(F.lower(value), "@", -1)).when(kind == "ip", F.substring_index(value, ".", 2))
+        .when(kind == "card", F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 4))
+    )
+    return F.array(F.concat_ws(":", kind, own), F.concat_ws(":", kind, F.lit("of"), shared))
+
+
+def disclosing_terms(rows: DataFrame, spans: DataFrame, generalise: float = GENERALISE, doubt: float = DOUBT) -> DataFrame:
     """``uid, term, disclosure``: the terms to be marked in each document."""
     copies = rows.groupBy("uid").agg(F.count("*").alias("n"))
-    entity = F.concat_ws(":", "kind", F.when(F.col("kind").isin("card", "phone"), _digits(F.col("value"))).otherwise(F.lower("value")))
-    held = spans.withColumn("entity", entity).join(copies, "uid")
     near = F.array_union(F.slice(F.reverse(_words(F.col("left"))), 1, NEAR_WORDS), F.slice(_words(F.col("right")), 1, NEAR_WORDS))
-    with_terms = held.select("uid", "n", "entity", F.xxhash64("left", "right").alias("context"), F.explode(near).alias("term"))
+    held = spans.withColumns({"near": near, "context": F.xxhash64("left", "right")}).join(copies, "uid")
+    held = held.select("uid", "n", "context", "near", F.explode(_entities(F.col("kind"), F.col("value"))).alias("entity"))
     of_entity = held.select("uid", "n", "entity").distinct().groupBy("entity").agg(F.sum("n").alias("df_e"))
-    pair = with_terms.groupBy("entity", "term", "uid").agg(F.first("n").alias("n"), F.min("context").alias("context"))
-    both = pair.groupBy("entity", "term").agg(F.sum("n").alias("df_te"), F.count_distinct("context").alias("contexts"))
-    both = stored(both.filter(F.col("contexts") >= contexts))
-    total = rows.agg(F.count("*").alias("total"))
+    pair = held.select("uid", "n", "entity", "context", F.explode("near").alias("term")).groupBy("entity", "term", "uid").agg(F.first("n").alias("n"), F.min("context").alias("context"))
+    both = stored(pair.groupBy("entity", "term").agg(F.sum("n").alias("df_te"), F.count_distinct("context").alias("c")))
+    total = rows.count()
     terms = both.select("term").distinct()
-    # Every term is counted, folded in each task, before the few wanted ones are picked.
+    # Every term is counted, folded in each task, before the wanted ones are picked.
     of_term = rows.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t")).join(terms, "term")
-    scored = both.join(of_entity, "entity").join(of_term, "term").crossJoin(F.broadcast(total))  # one row
-    value = F.log2(F.col("df_te") * F.col("total") / (F.col("df_t") * F.col("df_e"))) / F.log2(F.col("total") / F.col("df_e"))
+    scored = both.join(of_entity, "entity").join(of_term, "term").withColumn("total", F.lit(total))
+    likely = F.col("df_te") / F.col("df_t") * (F.col("c") / (F.col("c") + F.lit(doubt)))
+    value = F.log2(likely * F.col("total") / F.col("df_e")) / F.log2(F.col("total") / F.col("df_e"))
     strong = scored.filter(F.col("df_e") < F.col("total")).withColumn("disclosure", value).filter(F.col("disclosure") >= generalise)
     documents_of = held.select("uid", "entity").distinct()
     return documents_of.join(strong.select("entity", "term", "disclosure"), "entity").groupBy("uid", "term").agg(F.max("disclosure").alias("disclosure"))
@@ -191,7 +202,7 @@ def sanitised(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     """The rows of ``docs``, all columns, with placeholders for what was found in ``text_column``.
 
     Spans that overlap become one placeholder, of the kind that starts first.  Terms at ``remove`` or more vanish.  Texts
-    without spans stay as they are, nulls too.
+    without spans stay as they are, nulls too.  Other columns may have any names; an empty table gives an empty result.
     """
     spans = spans_by_row(docs, id_column, text_column)
     by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["k"].alias("k"), s["disclosure"].alias("disclosure"))))
@@ -206,17 +217,18 @@ def sanitised(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     size = merged.agg(F.sum(F.size("cuts") * 40 + 32).alias("n")).first()["n"] or 0
     if size <= SPAN_LIST_BYTES:
         merged = F.broadcast(merged)
-    merged = merged.withColumnRenamed("uid", "_uid").withColumnRenamed("cuts", "_cuts")
-    text = F.col(text_column).cast("string")
-    uid = F.xxhash64(docs[id_column].cast("long"), F.coalesce(docs[text_column].cast("string"), F.lit("")))
-    joined = docs.join(merged, uid == merged["_uid"], "left")
+    uid_name, cuts = fresh("uid", docs.columns), fresh("cuts", docs.columns)
+    merged = merged.select(F.col("uid").alias(uid_name), F.col("cuts").alias(cuts))
+    text = docs[text_column].cast("string")
+    uid = F.xxhash64(docs[id_column].cast("long"), F.coalesce(text, F.lit("")))
+    joined = docs.join(merged, uid == merged[uid_name], "left")
 
     def piece(s: Column, i: Column) -> Column:
-        before = F.when(i == 0, F.lit(0)).otherwise(F.element_at(F.col("_cuts"), F.greatest(i, F.lit(1)))["end"])
+        before = F.when(i == 0, F.lit(0)).otherwise(F.element_at(F.col(cuts), F.greatest(i, F.lit(1)))["end"])
         place = F.element_at(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), s["k"] + 1)
         return F.concat(F.substring(text, (before + 1).cast("int"), (s["start"] - before).cast("int")), F.when(F.coalesce(s["disclosure"] >= remove, F.lit(False)), "").otherwise(place))
 
-    end = F.element_at(F.col("_cuts"), -1)["end"]
-    changed = F.concat(F.array_join(F.transform("_cuts", piece), ""), F.substring(text, (end + 1).cast("int"), F.length(text)))
-    columns = [F.when(F.col("_cuts").isNotNull(), changed).otherwise(text).alias(c) if c == text_column else docs[c] for c in docs.columns]
+    end = F.element_at(F.col(cuts), -1)["end"]
+    changed = F.concat(F.array_join(F.transform(cuts, piece), ""), F.substring(text, (end + 1).cast("int"), F.length(text)))
+    columns = [F.when(F.col(cuts).isNotNull(), changed).otherwise(text).alias(c) if c == text_column else docs[c] for c in docs.columns]
     return joined.select(*columns)

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from adlumen.llm import packing
 
@@ -21,6 +22,10 @@ def test_both_libraries_agree():
         text = "".join(r.choice(letters if r.random() < 0.4 else ["a", "B", " ", " ", "\n", "'s", "'LL", "1", "!", "é", "  "]) for _ in range(r.randrange(0, 14)))
         assert quick(text) == plain(text)
     assert quick("中文 <|endoftext|>") == plain("中文 <|endoftext|>")
+    dealt = Tokenizer.from_file(FILES[0])
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "plain text", "<|endoftext|"):
+        assert np.frombuffer(quick(text), dtype="<u4").tolist() == dealt.encode(text, add_special_tokens=False).ids
+    assert 50256 in np.frombuffer(quick("a <|endoftext|> b"), dtype="<u4")
 
 
 def test_round_trip(spark):

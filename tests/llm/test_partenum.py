@@ -78,3 +78,37 @@ def test_keep_one(spark):
     )
     assert partenum.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
     assert partenum.jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_other_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 1, 2, 3), (2, "a b c d e f", 4, 5, 6), (2, "a b c d e f", 4, 5, 6)], "doc_id long, text string, _uid int, uid int, UID_ int")
+    out = partenum.keep_one(df)
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [(1, "a b c d e f", 1, 2, 3)]
+
+
+@pytest.mark.parametrize("block", [1024, 5])
+def test_candidates_miss_no_pair(spark, monkeypatch, block):
+    """All pairs of a group that are alike, in one block or dealt to several; a sketch never rules out a similar pair."""
+    monkeypatch.setattr(partenum, "BLOCK_MEMBERS", block)
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(80)]
+    texts = [" ".join(w if r.random() > x else f"v{r.random()}" for w in base) for x in (0, 0.01, 0.02, 0.05, 0.3) for _ in range(8)] + ["x " * 700_000, "tiny"]
+    sets = [partenum.shingle_sets([t.encode()], 5)[0] for t in texts]
+    placed = spark.createDataFrame([(g, i, i % 7, len(sets[i])) for g in (3, 4) for i in range(len(texts))], "group_id long, member long, root long, n_elements long").repartition(3)
+    held = spark.createDataFrame([(i, bytearray(partenum.sketch(s))) for i, s in enumerate(sets)], "class_id long, sketch binary")
+    got = {(p["a"], p["b"]) for p in partenum.candidates(placed, held, Fraction(3, 4)).collect()}
+    assert got <= {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if i % 7 != j % 7}
+    for i in range(len(texts)):
+        for j in range(i + 1, len(texts)):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if i % 7 != j % 7 and 4 * both >= 3 * (len(sets[i]) + len(sets[j]) - both):
+                assert (i, j) in got
+    few = {(p["a"], p["b"]) for p in partenum.candidates(placed, held, Fraction(3, 4), 1).collect()}
+    assert few <= got and len(got) < 500
+
+
+def test_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(150_000))
+    rows = [(1, long), (2, long + " more"), (3, "short text of a few words here"), (4, "y " * 400_000)]
+    got = {r["doc_id"]: r["component_id"] for r in partenum.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}

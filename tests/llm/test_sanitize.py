@@ -1,5 +1,6 @@
 """Personal data against plain regular expressions, and terms that reveal an entity."""
 
+import math
 import random
 import re
 
@@ -69,6 +70,57 @@ def test_terms_that_reveal(spark):
     assert kept[0].count("[TERM]") == 2
 
 
+def test_disclosure_against_plain_counts(spark):
+    """Every term of every document, by the same estimate over plain counts."""
+    r = random.Random(4)
+    vocabulary = [a + b for a in ("alp", "bet", "gam", "del", "eps") for b in ("ha", "on", "ix", "um", "or", "ett", "ing", "az")]
+    owners = [f"u{i}@d{i % 3}.org" for i in range(6)] + ["10.1.2.3", "10.1.9.9", "+1 (017) 555-7713"]
+    texts = []
+    for i in range(300):
+        words = [r.choice(vocabulary[: r.choice([4, 20, 40])]) for _ in range(r.randrange(1, 25))]
+        if i % 3 == 0:
+            at = r.randrange(len(words) + 1)
+            words[at:at] = [f"name{'abcdefghi'[i % 9]}", owners[i % 9], r.choice(["", "ligature"])]
+        texts.append(" ".join(words))
+    texts += [texts[0]] * 4 + [f"lone thing solo{'x' * 3} zed@only.net beside", None, ""]
+    words_of = lambda t: [w for w in re.findall("[a-z]{3,}", t.lower())]
+    n = len(texts)
+    df_t, df_e, df_te, contexts, near_of = {}, {}, {}, {}, {}
+    for i, t in enumerate(texts):
+        for w in set(words_of(t or "")):
+            df_t[w] = df_t.get(w, 0) + 1
+        for kind, a, b in brute(t):
+            value, left, right = t[a:b], t[:a][-160:], t[b:][:160]
+            digits = re.sub("[^0-9]", "", value)
+            names = {"email": (value, value.split("@")[-1]), "ip": (value, ".".join(value.split(".")[:2])), "phone": (digits, digits[:4])}[kind]
+            for e in ((kind, names[0]), (kind, "of", names[1])):
+                df_e.setdefault(e, set()).add(i)
+                near_of.setdefault(i, set()).add(e)
+                for w in set(words_of(left)[::-1][:5]) | set(words_of(right)[:5]):
+                    df_te.setdefault((e, w), set()).add(i)
+                    contexts.setdefault((e, w), set()).add((left, right))
+    want = {}
+    for (e, w), docs in df_te.items():
+        c = len(contexts[e, w])
+        likely = len(docs) / df_t[w] * c / (c + 1)
+        d = math.log2(likely * n / len(df_e[e])) / math.log2(n / len(df_e[e]))
+        if d >= 0.8:
+            for i in df_e[e]:
+                want[i, w] = max(want.get((i, w), 0), d)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs = sanitize.documents(rows, "doc_id", "text")
+    found = sanitize.disclosing_terms(docs, sanitize.base_spans(docs)).join(docs.select("uid", "doc_id"), "uid").collect()
+    got = {(f["doc_id"], f["term"]): f["disclosure"] for f in found}
+    assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
+    assert any(i == 304 for i, _ in got) and len(got) > 20
+
+
+def test_other_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "to x@y.zz now", 1, 2, 3, 4)], "doc_id long, text string, _cuts int, _uid int, cuts int, Uid int")
+    out = sanitize.sanitised(df)
+    assert out.columns == df.columns and tuple(out.first()) == (1, "to [EMAIL] now", 1, 2, 3, 4)
+
+
 def test_sanitised_keeps_rows(spark):
     rows = [(1, None), (2, ""), (3, "é x@y.zz +1 (017) 555-7713 and 4111 1111 1111 1111 end"), (3, "é x@y.zz +1 (017) 555-7713 and 4111 1111 1111 1111 end"), (None, "1.2.3.4")]
     df = spark.createDataFrame([(*x, "u", "s") for x in rows], SCHEMA)
