@@ -108,12 +108,12 @@ def set_id(elements: np.ndarray) -> int:
 
 
 def sketch(elements: np.ndarray) -> bytes:
-    """How many elements fall in each of ``CELLS`` cells; empty where a cell has more than a byte holds.
+    """How many elements fall in each of ``CELLS`` cells, two to a byte; empty where a cell has more than 15.
 
     Two sets can't share more than the sum of the lesser counts of all cells.
     """
-    counts = np.bincount((mixed(elements, 0x5EED) % U(CELLS)).astype(np.int64), minlength=CELLS)
-    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+    counts = np.bincount((mixed(elements, 0x5EED) % U(CELLS)).astype(np.int64), minlength=CELLS).astype(np.uint8)
+    return (counts[: CELLS // 2] | counts[CELLS // 2 :] << 4).tobytes() if counts.max(initial=0) < 16 else b""
 
 
 def _texts(column: pa.Array) -> list[bytes | None]:
@@ -306,8 +306,9 @@ class _Members:
         self.member, self.root, self.size = (table.column(c).to_numpy().astype(np.int64) for c in ("member", "root", "n_elements"))
         self.first = table.column("first").to_numpy(zero_copy_only=False).astype(bool)
         blobs = table.column("sketch").to_pylist()
-        self.some = np.array([len(b) == CELLS for b in blobs], dtype=bool)
-        self.sketches = np.frombuffer(b"".join(b if len(b) == CELLS else bytes(CELLS) for b in blobs), dtype=np.uint8).reshape(-1, CELLS)
+        self.some = np.array([len(b) > 0 for b in blobs], dtype=bool)
+        halves = np.frombuffer(b"".join(b or bytes(CELLS // 2) for b in blobs), dtype=np.uint8).reshape(-1, CELLS // 2)
+        self.sketches = np.concatenate((halves & 15, halves >> 4), axis=1)
 
     def alike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Of pairs of rows of different components those that neither sizes nor sketches rule out, by their classes."""
@@ -353,10 +354,12 @@ def candidates(placed: DataFrame, texts: DataFrame, threshold: Fraction, salt: i
     """Distinct pairs ``a, b`` of classes that share a group, are in different components and may be alike.
 
     The members of a group meet in one task, those of a large one in blocks of about ``BLOCK_MEMBERS``, each with each.
-    Pairs are formed and judged there, by their sizes and sketches; only those that may be alike leave it.  With a
+    Groups with the same smallest member go to the same task, so a pair that shares many groups mostly leaves it once; as
+    a class has a bounded number of signatures, so has a task of rows.  Pairs are formed and judged there, by their sizes
+    and sketches; only those that may be alike leave it.  With a
     ``salt`` only neighbours in a random order of each block are paired, which costs no more than the members.
     """
-    sizes = placed.groupBy("group_id").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"))
+    sizes = placed.groupBy("group_id").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"), F.min("member").alias("lead"))
     sketched = placed.join(texts.select(F.col("class_id").alias("member"), "sketch"), "member").join(sizes, "group_id")
     own = F.pmod(F.xxhash64("member", F.lit(salt or 0)), F.col("blocks")).cast("int")
     order = F.xxhash64(F.lit(salt), "member") if salt is not None else F.lit(0)
@@ -364,7 +367,7 @@ def candidates(placed: DataFrame, texts: DataFrame, threshold: Fraction, salt: i
     dealt = dealt.withColumn("other", F.col("own") if salt is not None else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
         "group_id", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).alias("first"),
-        "rank", "member", "root", "n_elements", "sketch",
+        "lead", "rank", "member", "root", "n_elements", "sketch",
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -385,17 +388,18 @@ def candidates(placed: DataFrame, texts: DataFrame, threshold: Fraction, salt: i
             if whole:
                 judge(table.slice(0, whole).combine_chunks())
             rest = table.slice(whole).combine_chunks()
-            if sum(map(len, found)) > 100_000:
-                pairs = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-                found.clear()
+            if sum(map(len, found)) > 1_000_000:
+                found[:] = [np.unique(np.concatenate(found), axis=0)]
+                if len(found[0]) > 500_000:
+                    pairs = found.pop()
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
         if rest is not None and rest.num_rows:
             judge(rest)
         if found:
             pairs = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    by_group = dealt.repartition("group_id", "x", "y").sortWithinPartitions("group_id", "x", "y", "rank", "member")
+    by_group = dealt.repartition("lead", "x", "y").sortWithinPartitions("group_id", "x", "y", "rank", "member")
     return by_group.mapInArrow(run, "a long, b long").distinct()
 
 
