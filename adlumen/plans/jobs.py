@@ -29,7 +29,7 @@ class CampaignRun:
 
 
 def campaign_job(
-    raw: DataFrame, mapping: kw.Mapping, model_root: str | None = None, min_group: int = 150, settings: models.TreeSettings = models.CAMPAIGN_TREES,
+    raw: DataFrame, mapping: kw.Mapping, model_root: str | None = None, min_group: int = 150, n_trees: int = 400, settings: models.TreeSettings = models.CAMPAIGN_TREES,
     targets: list[str] = names.CAMPAIGN_TARGETS, seed: int = 42,
 ) -> CampaignRun:
     """Roll up, remove outliers per type and overall, split by strata, fit log trees, judge them, and save them under ``model_root``.
@@ -37,7 +37,7 @@ def campaign_job(
     A type under ``min_group`` rows passes the first forest as it is.
     """
     table = checkpointed(campaign.campaign_table(raw, mapping))
-    mask, kept = ads.two_pass_outliers(table, "campaign_id", min_group=min_group, seed=seed)
+    mask, kept = ads.two_pass_outliers(table, "campaign_id", min_group=min_group, n_trees=n_trees, seed=seed)
     summary = ads.two_pass_summary(mask, table, min_group)
     rows = checkpointed(split.stratified_split(checkpointed(kept), "campaign_id", seed=seed))
     wide, features = training.campaign_features(rows)
