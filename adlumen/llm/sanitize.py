@@ -7,7 +7,7 @@ information content of the entity itself:
 
     disclosure(t, e) = log2(p(e | t) N / df(e)) / log2(N / df(e)),   p(e | t) = df(t, e) / df(t) * c / (c + ``DOUBT``),
 
-where c counts the different surroundings they were seen in: copies of one passage are one, and one is half a proof, so
+where c counts the different surroundings they were seen in: copies of one passage are one, and one is a third of a proof, so
 the measure holds for entities of a single document too.  Terms at or over ``GENERALISE`` are marked in the documents of
 that entity, and generalised to a placeholder, or removed at ``REMOVE`` and more.
 
@@ -35,7 +35,7 @@ _MAY_HOLD = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"
 _PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 NEAR_WORDS, NEAR_CHARACTERS = 5, 160
 LEAST_LETTERS = 3
-GENERALISE, REMOVE, DOUBT = 0.8, 0.999, 1.0
+GENERALISE, REMOVE, DOUBT = 0.8, 0.999, 2.0
 WORD = rf"\p{{L}}{{{LEAST_LETTERS},}}"
 SPAN_LIST_BYTES = 32 << 20
 

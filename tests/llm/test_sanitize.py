@@ -102,7 +102,7 @@ def test_disclosure_against_plain_counts(spark):
     want = {}
     for (e, w), docs in df_te.items():
         c = len(contexts[e, w])
-        likely = len(docs) / df_t[w] * c / (c + 1)
+        likely = len(docs) / df_t[w] * c / (c + sanitize.DOUBT)
         d = math.log2(likely * n / len(df_e[e])) / math.log2(n / len(df_e[e]))
         if d >= 0.8:
             for i in df_e[e]:
