@@ -59,3 +59,21 @@ def test_fifty_thousand_keywords(spark, mode):
     got = {r["name"]: r["l"] for r in joins.label_distinct(df, F.col("name"), table, "l", mode).collect()}
     hit = {"prefix": str.startswith, "substring": str.__contains__, "word": lambda t, k: k in t and re.search(rf"\b{re.escape(k)}\b", t) is not None}[mode]
     assert got == {t: next((f"t{i}" for i, k in enumerate(keywords) if hit(t, k)), "unknown") for t in texts}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_keywords_are_not_broadcast(spark):
+    from adlumen.operators import dictionary
+    from adlumen.sources.session import small_side
+
+    names_ = spark.createDataFrame([("shop 7",), ("shop 100000",)], "_name string")
+    rank = F.struct(F.col("id").alias("priority"), F.lit("t").alias("label")).alias("rank")
+    many = spark.range(100_001).select(F.concat(F.lit("shop "), F.col("id").cast("string")).alias("k"), rank)
+    for found in (dictionary._prefixes(names_, many), dictionary._words(names_, many)):
+        assert "Broadcast" not in plan(found)
+        assert {r["_name"] for r in found.collect()} == {"shop 7", "shop 100000"}
+    assert "Broadcast" not in plan(spark.range(9).join(small_side(spark.range(9), 5), "id"))
+    assert "BroadcastHashJoin" in plan(spark.range(9).join(small_side(spark.range(9), 9), "id"))
