@@ -11,6 +11,7 @@ from adlumen.plans import campaign, reports
 from adlumen.queries.registry import ADS, ROLLUP, TYPED, query
 from adlumen.queries.relational import typed_ads
 from adlumen.sources.adapters import SEGMENT_MAPPING, ad_rows, ad_rows_with_copies, table
+from adlumen.sources.session import stored
 
 _SHARE = "(('0x' || substr(md5({k} || '|{s}'), 1, 8))::BIGINT / 4294967296.0)"
 _HASH = "(('0x' || substr(md5({k} || '|{s}'), 1, 15))::BIGINT)"
@@ -222,7 +223,7 @@ def voting(spark, sf):
 @query(f"""WITH {_BASE}, w AS (SELECT {", ".join(f"greatest(0, 1 - avg((y - pred_{m}) * (y - pred_{m})) / var_pop(y)) AS w_{m}" for m in _MODELS)} FROM base)
 SELECT row_key, round((w_a * pred_a + w_b * pred_b + w_c * pred_c) / (w_a + w_b + w_c), 6) AS pred FROM base, w""")
 def weighted_voting(spark, sf):
-    base = _base_predictions(spark, sf)
+    base = stored(_base_predictions(spark, sf))
     scores = base.agg(*[metrics.metric_columns(F.col("y"), F.col(f"pred_{m}"))["r2"].alias(m) for m in _MODELS]).first().asDict()
     return base.select("row_key", models.weighted_voting(models.voting_weights(scores)).alias("pred"))
 
@@ -230,14 +231,14 @@ def weighted_voting(spark, sf):
 @query(f"""WITH {_BASE}, m AS (SELECT count(*) AS n, avg(pred_a) AS mx, avg(y) AS my, var_pop(pred_a) AS vx, covar_pop(pred_a, y) AS cxy FROM base),
 w AS (SELECT n * cxy / (n * vx + 1.0) AS w, mx, my FROM m) SELECT row_key, round(my - w * mx + w * pred_a, 6) AS pred FROM base, w""")
 def ridge_closed_form(spark, sf):
-    base = _base_predictions(spark, sf)
+    base = stored(_base_predictions(spark, sf))
     weights, intercept = models.ridge_coefficients(base, ["pred_a"], "y")[None]
     return base.select("row_key", models.linear_column(["pred_a"], weights, intercept).alias("pred"))
 
 
 @query()
 def stacking(spark, sf):
-    base = _base_predictions(spark, sf)
+    base = stored(_base_predictions(spark, sf))
     stack = models.fit_stack(base, ["a", "b", "c"], "y", fold="fold")
     return base.select("row_key", stack.column().alias("pred"), stack.honest_column("fold").alias("pred_out_of_fold"))
 

@@ -11,6 +11,7 @@ from adlumen.plans import features as plan
 from adlumen.queries.registry import ADS, TYPE, TYPED, query
 from adlumen.queries.relational import typed_ads
 from adlumen.sources.adapters import SEGMENT_MAPPING, ad_rows, table
+from adlumen.sources.session import stored
 
 _PI2 = "(2 * pi())"
 
@@ -176,7 +177,7 @@ _TYPES = ["industrial_manufacturing", "other", "real_estate", "retail_brand", "u
 @query(f"""WITH {TYPED} SELECT row_key, {", ".join(f'''CAST(business_type = '{t}' AS INTEGER) AS "business_type_{t}"''' for t in _TYPES)},
  {", ".join(f'''CAST(campaign_objective = '{p}' AS INTEGER) AS "campaign_objective_{p}"''' for p in _PRIORITIES)} FROM typed""")
 def one_hot(spark, sf):
-    rows = typed_ads(spark, sf).select("row_key", "business_type", "campaign_objective")
+    rows = stored(typed_ads(spark, sf).select("row_key", "business_type", "campaign_objective"))
     vocabulary, _ = encode.learn_vocabulary(rows, ["business_type", "campaign_objective"])
     return encode.one_hot(rows, vocabulary)
 
@@ -209,7 +210,7 @@ def column_moments(spark, sf):
 @query(f"""WITH {ADS}, m AS (SELECT avg(cost) AS a, stddev_samp(cost) AS s, avg(clicks) AS b, stddev_samp(clicks) AS t FROM ads)
 SELECT row_key, round((cost - a) / s, 6) AS cost, round((clicks - b) / t, 6) AS clicks, 1 AS constant FROM ads, m""")
 def standardize(spark, sf):
-    rows = ad_rows(spark, sf).select("row_key", "cost", "clicks", F.lit(1).alias("constant"))
+    rows = stored(ad_rows(spark, sf).select("row_key", "cost", "clicks", F.lit(1).alias("constant")))
     return scale.apply_standard(rows, scale.fit_standard(rows, ["cost", "clicks", "constant"]))
 
 
