@@ -61,3 +61,21 @@ def test_stacking_against_numpy(spark):
     for k in range(5):
         inside = (base["fold"] == k).to_numpy()
         assert np.allclose(out["pred_out_of_fold"][inside], fitted(~inside)[inside], atol=2e-6)
+
+
+def test_rounding_equals_that_of_spark(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from adlumen.queries.registry import rounded
+
+    rng = np.random.default_rng(5)
+    near = (rng.integers(-10**7, 10**7, 4_000) + 0.5) / 1e6
+    values = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, -1e-9, 0.5e-6, -0.5e-6, 1.0000005, 1e300, 123456789.1234565, 2.5e12]
+    values += [*near, *np.nextafter(near, 9e9), *(rng.normal(size=4_000) * 10.0 ** rng.integers(-8, 13, 4_000))]
+    df = spark.createDataFrame([(v if v is None else float(v),) for v in values], "x double")
+    pairs = df.withColumn("y", F.col("x")).transform(lambda d: rounded(d, 6)).select("y")
+    want = df.select(F.round("x", 6).alias("y"))
+    assert [repr(r["y"]) for r in pairs.collect()] == [repr(r["y"]) for r in want.collect()]
+    plan = rounded(df, 6)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan
