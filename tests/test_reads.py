@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from adlumen.operators import encode, scale, split
-from adlumen.sources.adapters import ad_rows
+from adlumen.operators import dedupe, encode, scale, split
+from adlumen.sources.adapters import ad_rows, ad_rows_with_copies
 
 STEPS = {
     "take_share": lambda df: split.take_share(df, "k", 0.1, ["g"], "taken"),
@@ -39,3 +39,12 @@ def test_line_key_is_made_before_the_joins(spark):
     made = [i for i, line in enumerate(plan.splitlines()) if "unhex(md5" in line]
     assert len(joins) == 3 and made and min(made) > min(joins)
     assert all(len(r["row_key"]) == 32 for r in rows.limit(5).collect())
+
+
+def test_distinct_rows_need_no_shuffle_after_the_join(spark):
+    def deals(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+    rows = ad_rows_with_copies(spark, "/root/testdata/sf0.001")
+    assert deals(dedupe.distinct_rows(rows)) == deals(rows)
+    assert dedupe.distinct_rows(rows).count() < rows.count()
