@@ -111,6 +111,21 @@ def test_strata_fall_back(spark):
     assert split.safe_strata(mixed, "k")[1] == 1
 
 
+def test_strata_are_counted_by_place(spark):
+    """A row isn't repeated for every number of bins; sizes equal those of every row's own bin, ties and nulls included."""
+    rows = [("ab"[i % 7 == 0], [1.0, 2.0, 2.0, 3.5, -0.0, 0.0, float("nan"), None, float("inf")][i % 9], i * 37 % 101) for i in range(300)]
+    df = spark.createDataFrame(rows, "label string, cost double, t long")
+    edges = {1: [], **split._upper_edges(df, "cost", "t", 6)}
+    got = split._smallest_strata(df, "cost", "t", edges)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [label" in plan[plan.index("Generate explode"):]
+    want = {
+        q: df.groupBy("label", (split._bin(F.col("cost"), F.col("t"), e) if e else F.lit(1)).alias("bin")).count().agg(F.min("count")).first()[0]
+        for q, e in edges.items()
+    }
+    assert {r["q"]: r["smallest"] for r in got.collect()} == want and len(want) == 6
+
+
 def test_stratified_split_shares(spark):
     rows = [(str(i), "hot" if i % 3 else f"t{i % 5}", float(i % 17)) for i in range(900)]
     df = spark.createDataFrame(rows, "k string, business_type string, cost double")
