@@ -10,8 +10,8 @@ taken out when two words fall back on one, but not when one falls back on none,
 Nothing bounds the number of contexts.  Each position is dealt by its last word, so that a task holds every context that ends
 in it; words to look up without context are dealt by themselves, and what a task finds for a text by the text.  A word with
 ``HOT`` of all positions is dealt with the word before it, and a pair as frequent by the text.  Such contexts, at most
-``1 / HOT``, are known everywhere, with each next word that has ``SHARE`` of all positions after them; their other next
-words share what is left.
+``1 / HOT``, are known everywhere, with each next word that has ``SHARE`` of all positions after them.  A bucket asks for the
+counts of their other next words by the word and the next one, so scores don't depend on which contexts are hot.
 
 A unigram model of words is learnt beside it, as a base: a word's count is how often it is the last word of a position.
 """
@@ -138,37 +138,39 @@ def _portions(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np
 # ---- hot contexts --------------------------------------------------------------------------------------------------
 
 
-def names_of(before: np.ndarray, last: np.ndarray, following: np.ndarray) -> list[tuple[str, np.ndarray, np.ndarray]]:
-    """Contexts of both lengths and what follows them: kind, context and name of each position."""
-    pair = paired(before, last)
-    return [("word", last, last), ("pair", pair, pair), ("after word", last, paired(last, following)), ("after pair", pair, joint(pair, following))]
+def names_of(before: np.ndarray, last: np.ndarray, following: np.ndarray) -> list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+    """Contexts of both lengths and what follows them: kind, context, name without the first word, and name of each position."""
+    pair, after = paired(before, last), paired(last, following)
+    return [("word", last, last, last), ("pair", pair, last, pair), ("after word", last, following, after), ("after pair", pair, after, joint(pair, following))]
 
 
 KINDS = ("word", "pair", "after word", "after pair")
 
 
 def candidates(rows: DataFrame, share: float = SHARE) -> DataFrame:
-    """``kind, context, name``: contexts, and next words in a context, that are frequent in a portion that a task counts.
+    """``kind, context, suffix, name``: contexts, and next words in a context, that are frequent in a portion that a task counts.
 
     What has ``share`` of all positions has it in at least one portion.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for before, last, following, _ in _portions(batches, PORTION):
-            for kind, context, name in names_of(before, last, following):
+            for kind, context, suffix, name in names_of(before, last, following):
                 found, first, n = np.unique(name, return_index=True, return_counts=True)
                 keep = n >= max(share * len(name), 8)
-                columns = [pa.array([kind] * int(keep.sum()), pa.string()), pa.array(context[first[keep]].astype(np.int64)), pa.array(found[keep].astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["kind", "context", "name"])
+                columns = [pa.array([kind] * int(keep.sum()), pa.string()), *(pa.array(x.astype(np.int64)) for x in (context[first[keep]], suffix[first[keep]], found[keep]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["kind", "context", "suffix", "name"])
 
-    return rows.select("uid", "text", "held_out").mapInArrow(run, "kind string, context long, name long").distinct()
+    return rows.select("uid", "text", "held_out").mapInArrow(run, "kind string, context long, suffix long, name long").distinct()
 
 
-def hot_contexts(rows: DataFrame, hot: float = HOT, hot_least: int = HOT_LEAST, share: float = SHARE) -> dict:
+def hot_contexts(rows: DataFrame, hot: float = HOT, hot_least: int = HOT_LEAST, share: float | None = None) -> dict:
     """Hot words and pairs with their learning counts, and the frequent words after them; also all learning positions.
 
-    At most ``1 / hot`` contexts of a kind, of ``2 / share`` candidates.  Counts are exact.
+    At most ``1 / hot`` contexts of a kind, of ``2 / share`` candidates.  Counts are exact.  If a ``share`` is given, the
+    other next words are ``estimated``: together they have what is ``left``.
     """
+    estimated, share = share is not None, SHARE if share is None else share
     found = stored(candidates(rows, share)).toPandas()
     names = {k: np.sort(found["name"][found["kind"] == k].to_numpy().astype(U)) for k in KINDS}
     shared = rows.sparkSession.sparkContext.broadcast(names)
@@ -177,7 +179,7 @@ def hot_contexts(rows: DataFrame, hot: float = HOT, hot_least: int = HOT_LEAST,
         names = shared.value
         total = {k: np.zeros((2, len(v) + 1), dtype=np.int64) for k, v in names.items()}
         for before, last, following, out in _portions(batches, FLUSH):
-            for kind, _, name in names_of(before, last, following):
+            for kind, _, _, name in names_of(before, last, following):
                 there, place = _found(names[kind], name)
                 for row, some in ((0, there), (1, there & ~out)):
                     total[kind][row, :-1] += np.bincount(place[some], minlength=len(names[kind]))[: len(names[kind])]
@@ -194,20 +196,129 @@ def hot_contexts(rows: DataFrame, hot: float = HOT, hot_least: int = HOT_LEAST,
         every[k][g["place"]], learnt[k][g["place"]] = g["every"], g["learnt"]
     total = int(every["word"][-1])
     limit = max(share * total, 1.0)
-    out: dict = {"positions": int(learnt["word"][-1]), "limit": limit}
+    out: dict = {"positions": int(learnt["word"][-1]), "limit": limit, "estimated": estimated}
     for kind in KINDS[:2]:
         keep = every[kind][:-1] >= max(hot * total, hot_least)
         name, n = names[kind][keep], learnt[kind][:-1][keep]
-        part = found[found["kind"] == f"after {kind}"].sort_values("name", key=lambda c: c.to_numpy().astype(U))
-        of, times = part["context"].to_numpy().astype(U), learnt[f"after {kind}"][:-1]
+        part, after = (found[found["kind"] == k].sort_values("name", key=lambda c: c.to_numpy().astype(U)) for k in (kind, f"after {kind}"))
+        of, times = after["context"].to_numpy().astype(U), learnt[f"after {kind}"][:-1]
         there, place = _found(name, of)
         listed = there & (times >= limit)
         left = n.copy()
         np.subtract.at(left, place[listed], times[listed])
         out[kind] = {"name": name, "n": n, "left": left, "after": names[f"after {kind}"][listed], "times": times[listed]}
+        # By places: the context of each next word, and the word that ends a pair; by name: a next word's suffix.
+        out[kind] |= {"of": place[listed], "suffix": after["suffix"].to_numpy().astype(U)[listed], "word": _found(out["word"]["name"], part["suffix"].to_numpy().astype(U)[keep])[1]}
     return out
 
 
+def questions(rows: DataFrame, buckets: int, shared) -> DataFrame:
+    """Next words of hot contexts that aren't listed, a row for each bucket that asks for them (``sender``), dealt by the
+    last word and the next one: ``target, sender, context, following, n``.
+
+    A context is the place of a hot word, or of a hot pair behind all words; ``n`` are learning positions of the sender.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shared.value
+        words = len(hot["word"]["name"])
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            target, sender, context, following, n = (np.concatenate([h[i] for h in held]) for i in range(5))
+            held.clear()
+            order = np.lexsort((following, context, sender, target))
+            target, sender, context, following, n = (x[order] for x in (target, sender, context, following, n))
+            new = np.concatenate(([True], (np.diff(target) != 0) | (np.diff(sender) != 0) | (np.diff(context) != 0) | (following[1:] != following[:-1])))
+            at = np.flatnonzero(new)
+            columns = [target[at], sender[at], context[at], following[at], np.add.reduceat(n, at)]
+            out = [(b, _planes(s), _planes(c), _planes(f, 5), _planes(k)) for b, (s, c, f, k) in dealt(columns[0], columns[1:])]
+            blobs = [pa.array([o[i] for o in out], pa.binary()) for i in range(1, 5)]
+            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), *blobs], names=["target", "sender", "context", "following", "n"])
+
+        for uid, out, text in _texts(batches):
+            before, last, following = positions(text)
+            is_hot, word = _found(hot["word"]["name"], last)
+            if not is_hot.any():
+                continue
+            before, last, following, word = before[is_hot], last[is_hot], following[is_hot], word[is_hot]
+            pair, name = paired(before, last), paired(last, following)
+            hot_pair, place = _found(hot["pair"]["name"], pair)
+            sender = (mixed(np.where(hot_pair, U(uid & 0xFFFFFFFFFFFFFFFF), pair)) % U(buckets)).astype(np.int64)
+            target = (mixed(name) % U(buckets)).astype(np.int64)
+            for ask, context in (
+                (~_found(hot["word"]["after"], name)[0], word), (hot_pair & ~_found(hot["pair"]["after"], joint(pair, following))[0], words + place)
+            ):
+                held.append((target[ask], sender[ask], context[ask], following[ask] & _NEXT, np.full(int(ask.sum()), int(not out))))
+                size += len(held[-1][0])
+            if size >= FLUSH:
+                yield flush()
+                size = 0
+        if size:
+            yield flush()
+
+    return rows.select("uid", "text", "held_out").mapInArrow(run, "target int, sender binary, context binary, following binary, n binary")
+
+
+def answers(asked: DataFrame, shared) -> DataFrame:
+    """For each ``bucket`` that asked the learning counts of next words (``name, times``); for each ``context`` the number of
+    its next words that were asked for and learnt (``kinds``), and of a pair's their part of ``gain`` and ``taken``.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        hot = shared.value
+        words = len(hot["word"]["name"])
+        sender, context, n = (np.concatenate([_from_planes(x) for x in pdf[c]]).astype(np.int64) for c in ("sender", "context", "n"))
+        following = np.concatenate([_from_planes(x, 5) for x in pdf["following"]])
+        is_pair = context >= words
+        place = np.where(is_pair, context - words, 0)
+        word = np.where(is_pair, hot["pair"]["word"][place], context) if is_pair.any() else context
+        after = paired(hot["word"]["name"][word], following)
+        name = np.where(is_pair, joint(hot["pair"]["name"][place], following), after) if is_pair.any() else after
+        order, at = _groups(name)
+        times = _sums(n, order, at)
+        first = order[at]
+        first = first[times[first] > 0]
+        ending = first[is_pair[first]]
+        known, counts = np.concatenate((name[first], hot["word"]["after"])), np.concatenate((times[first], hot["word"]["times"]))
+        by_name = np.argsort(known)
+        there, where = _found(known[by_name], after[ending])
+        gain, taken = np.zeros(len(name)), np.zeros(len(name))
+        taken[ending] = counts[by_name][where]
+        gain[ending] = times[ending] * np.log(times[ending] / taken[ending])
+        sums = [np.bincount(context[first], x, minlength=1) for x in (None, gain[first], taken[first])]
+        order = np.lexsort((name, sender))
+        sender, name, times = (x[order] for x in (sender, name, times))
+        new = np.concatenate(([True], (np.diff(sender) != 0) | (name[1:] != name[:-1])))
+        rows = [(b, _sorted_ids(x), _planes(t), None, 0, 0.0, 0.0) for b, (x, t) in dealt(sender[new], [name[new], times[new]])]
+        rows += [(None, None, None, int(c), int(sums[0][c]), float(sums[1][c]), float(sums[2][c])) for c in np.flatnonzero(sums[0])]
+        columns = ["bucket", "name", "times", "context", "kinds", "gain", "taken"]
+        return pd.DataFrame(rows, columns=columns).astype({"bucket": "Int32", "context": "Int32"})
+
+    return asked.groupBy("target").applyInPandas(run, "bucket int, name binary, times binary, context int, kinds long, gain double, taken double")
+
+
+def settled(known: dict, found: DataFrame) -> dict:
+    """``known`` with the number of kinds of next words of each hot context, and of pairs the whole ``gain`` and ``taken``."""
+    sums = found.filter("context IS NOT NULL").groupBy("context").agg(*[F.sum(c).alias(c) for c in ("kinds", "gain", "taken")]).toPandas()
+    word, pair = known["word"], known["pair"]
+    words, pairs = len(word["name"]), len(pair["name"])
+    kinds, gain, taken = np.zeros(words + pairs, dtype=np.int64), np.zeros(words + pairs), np.zeros(words + pairs)
+    at = sums["context"].to_numpy(dtype=np.int64)
+    kinds[at], gain[at], taken[at] = (sums[c] for c in ("kinds", "gain", "taken"))
+    np.add.at(kinds, np.concatenate((word["of"], words + pair["of"])), 1)
+    # A pair's frequent next word is as frequent after its last word.
+    times = word["times"][_found(word["after"], pair["suffix"])[1]] if len(pair["after"]) else np.zeros(0)
+    np.add.at(gain, words + pair["of"], pair["times"] * np.log(pair["times"] / times))
+    np.add.at(taken, words + pair["of"], times)
+    size = (word["n"] + kinds[:words])[pair["word"]]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        whole = gain[words:] + np.where(pair["n"] > 0, pair["n"] * np.log(size / pair["n"]), 0.0)
+        share = np.minimum(taken[words:] / size, 1 - 1e-9)
+    return known | {"word": word | {"kinds": kinds[:words]}, "pair": pair | {"kinds": kinds[words:], "gain": whole, "taken": share}}
+
+
 # ---- the tree ------------------------------------------------------------------------------------------------------
 
 
@@ -261,7 +372,8 @@ def context_scores(last: np.ndarray, before: np.ndarray, following: np.ndarray,
     """For each position the log10 of its probability, whether that of the next word alone is a further factor, and the
     learning count of the last word.
 
-    All learning positions of a context that isn't hot must be among those given.
+    All learning positions of a context that isn't hot must be among those given.  Of hot ones ``hot`` has the counts, unless
+    they are estimated.
     """
     learnt = np.where(held, 0, n).astype(np.int64)
     penalty = 0.5 * math.log(max(hot["positions"], 2))
@@ -276,27 +388,36 @@ def context_scores(last: np.ndarray, before: np.ndarray, following: np.ndarray,
             in_context = _groups(context)
             order, at = _groups(name)
             every, times = _sums(learnt, *in_context), _sums(learnt, order, at)
+            is_hot, place = _found(hot[kind]["name"], context)
+            settled_here = is_hot.any() and not hot["estimated"]
+            listed, where = _found(hot[kind]["after"], name)
             # One row of each next word speaks for all.
             speaks = np.zeros(len(n), dtype=bool)
             speaks[order[at]] = True
             speaks &= times > 0
             kinds = _sums(speaks.astype(np.int64), *in_context)
+            if settled_here:
+                every, kinds = (np.where(is_hot, hot[kind][c][place], x) for c, x in (("n", every), ("kinds", kinds)))
+                times = np.where(is_hot, np.where(listed, hot[kind]["times"][where], 0) if listed.any() else 0, times)
+                there, where_told = _found(hot["told"][0], name)
+                times = np.where(is_hot & there & ~listed, hot["told"][1][where_told], times) if there.any() else times
             retained, taken = every >= LEAST, np.zeros(len(n))
             if kind == "pair":
                 suffix = np.where(root, ceiling, log)
                 gain = np.where(speaks, times * (np.log(times / every) - suffix * math.log(10)), 0.0)
-                retained &= _sums(gain, *in_context) > penalty * kinds
+                gain = _sums(gain, *in_context)
                 taken = np.minimum(_sums(np.where(speaks & ~root, 10.0**log, 0.0), *in_context), 1 - 1e-9)
+                if settled_here:
+                    gain, taken = (np.where(is_hot, hot[kind][c][place], x) for c, x in (("gain", gain), ("taken", taken)))
+                retained &= gain > penalty * kinds
             seen = times > 0
             own = np.log10(times / (every + kinds))
             other = log + np.log10(kinds / (every + kinds)) - np.log10(1 - taken)
             now, now_root = np.where(retained, np.where(seen, own, other), log), root & ~(retained & seen)
-            is_hot, place = _found(hot[kind]["name"], context)
             if kind == "word":
                 count = every
-            if is_hot.any():
+            if is_hot.any() and hot["estimated"]:
                 total, left = (np.where(is_hot, hot[kind][c][place], 0) for c in ("n", "left"))
-                listed, where = _found(hot[kind]["after"], name)
                 listed &= is_hot
                 share = np.zeros(len(n))
                 share[listed] = np.log10(hot[kind]["times"][where[listed]] / (total[listed] + 1))
@@ -312,25 +433,35 @@ def context_scores(last: np.ndarray, before: np.ndarray, following: np.ndarray,
 FOUND = "target int, uid binary, score binary, roots binary, base binary, unknown binary, tokens binary, kinds long"
 
 
-def found_in_buckets(entries: DataFrame, buckets: int, shared) -> DataFrame:
+def found_in_buckets(entries: DataFrame, buckets: int, shared, told: DataFrame | None = None) -> DataFrame:
     """What each bucket finds for a row, dealt by ``uid``; beyond ``buckets``, single words to look up, dealt by the word.
 
     A row for words has the ids of those who ask, the words and how often they are asked for (``uid, score, roots``), and
-    words with their learning counts (``base, unknown``).
+    words with their learning counts (``base, unknown``).  ``told`` are the answers to what the buckets asked.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        hot = shared.value
+    def run(pdf: pd.DataFrame, told: pd.DataFrame | None = None) -> pd.DataFrame:
+        hot = shared.value | {"told": (np.zeros(0, dtype=U), np.zeros(0, dtype=np.int64))}
+        if told is not None and len(told):
+            name = np.concatenate([_from_sorted(x) for x in told["name"]])
+            order = np.argsort(name)
+            hot["told"] = name[order], np.concatenate([_from_planes(x) for x in told["times"]]).astype(np.int64)[order]
         last = np.concatenate([np.repeat(_from_sorted(w), _from_planes(n).astype(np.int64)) for w, n in zip(pdf["words"], pdf["n"])])
-        uid = np.concatenate([_from_sorted(u)[_from_planes(w)].astype(np.int64) for u, w in zip(pdf["uids"], pdf["which"])])
+        ids = [_from_sorted(u).astype(np.int64) for u in pdf["uids"]]
+        begin = np.cumsum([0, *(len(u) for u in ids)])
+        ids, row = np.concatenate(ids), np.concatenate([(_from_planes(w) + U(b)).astype("<u4") for b, w in zip(begin.tolist(), pdf["which"])])
         before = np.concatenate([np.frombuffer(x, dtype="<u4") for x in pdf["before"]])
         following = np.concatenate([_from_planes(x, 5) for x in pdf["following"]])
         times = np.concatenate([_from_planes(x).astype("<u4") for x in pdf["times"]])
         sums, asks, tells = [], [], []
         # A part of the contexts at a time, to bound what stands in memory.
-        for _, (part,) in dealt((mixed(last, 0x51ED270B) % U(PARTS)).astype(np.int64), [np.arange(len(last))]):
+        portion = ((last >> U(40)) % U(PARTS)).astype(np.uint8)
+        for i in range(PARTS):
+            part = np.flatnonzero(portion == i)
+            if not len(part):
+                continue
             t = times[part].astype(np.int64)
-            n, held, u, following_here = t >> 1, (t & 1).astype(bool), uid[part], following[part]
+            n, held, u, following_here = t >> 1, (t & 1).astype(bool), ids[row[part]], following[part]
             log, root, count = context_scores(last[part], before[part].astype(U), following_here, n, held, hot)
             order, at = _groups(u)
             sums.append((u[order][at], *(np.add.reduceat(x[order], at) for x in (n * log, n * root, n * np.log10(count + 1.0), n * (count == 0), n))))
@@ -357,7 +488,9 @@ def found_in_buckets(entries: DataFrame, buckets: int, shared) -> DataFrame:
             out.append((buckets + b, _planes(np.diff(u, prepend=np.int64(0)), 8), _planes(w, 5), _planes(t), _planes(v, 5), _planes(c, 8), b"", 0))
         return pd.DataFrame(out, columns=["target", "uid", "score", "roots", "base", "unknown", "tokens", "kinds"])
 
-    return entries.groupBy("bucket").applyInPandas(run, FOUND)
+    if told is None:
+        return entries.groupBy("bucket").applyInPandas(lambda pdf: run(pdf), FOUND)
+    return entries.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(lambda pdf, told: run(pdf, told), FOUND)
 
 
 def row_sums(found: DataFrame, buckets: int, shared) -> DataFrame:
@@ -394,19 +527,25 @@ def row_sums(found: DataFrame, buckets: int, shared) -> DataFrame:
 
 
 def scored(
-    docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str = "doc_id", text_column: str = "text", hot: float = HOT, hot_least: int = HOT_LEAST, share: float = SHARE,
+    docs: DataFrame, modulus: int = 7, held: int = 2, id_column: str = "doc_id", text_column: str = "text", hot: float = HOT, hot_least: int = HOT_LEAST, share: float | None = None,
 ) -> DataFrame:
     """Each row's ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Rows whose crc32 of the id, modulo ``modulus``, is ``held`` are not learnt from.  A null or empty text has its end
     as only token.  Rows with equal ids or texts count each for itself, in learning too.  Extra columns are ignored; an
     empty table gives an empty result, and without learning rows every word has probability one, as the base has it.
+    Scores don't depend on ``hot`` and ``hot_least``, but with a ``share`` next words of hot contexts are estimated.
     """
     buckets = bucket_count(docs, text_column, BUCKET_MB)
     rows = learning_rows(docs, id_column, text_column, modulus, held)
     known = hot_contexts(rows, hot, hot_least, share)
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-    sums = stored(row_sums(found_in_buckets(position_entries(rows, buckets, shared), buckets, shared), buckets, shared))
+    broadcast, told = docs.sparkSession.sparkContext.broadcast, None
+    if share is None and len(known["word"]["name"]):
+        first = broadcast(known)
+        found = stored(answers(questions(rows, buckets, first), first))
+        known, told = settled(known, found), found.filter("bucket IS NOT NULL").select("bucket", "name", "times")
+    shared = broadcast(known)
+    sums = stored(row_sums(found_in_buckets(position_entries(rows, buckets, shared), buckets, shared, told), buckets, shared))
     n = known["positions"]
     kinds = (sums.agg(F.sum("kinds")).first()[0] or 0) + int((known["word"]["n"] > 0).sum())
     out = rows.select("doc_id", "uid", "held_out")

@@ -161,6 +161,21 @@ def test_hot_contexts(spark, hot):
     assert max(sum(plain.p(c, w) for w in [*plain.one, "unseen"]) for c in contexts) <= 1 + 1e-9
 
 
+@pytest.mark.parametrize("hot", [0.005, 0.02, 0.12])
+def test_hot_contexts_do_not_matter(spark, monkeypatch, hot):
+    """Scores are the plain tree's whatever is hot: the size of the table switches nothing."""
+    data = chained(200) + [(1000 + i, " ".join(["buy now"] * 40)) for i in range(60)] + [(2000 + i, f"buy now k{i % 40} a b j{i}") for i in range(120)]
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(suffixtree, "SHARE", 0.003)
+    monkeypatch.setattr(suffixtree, "FLUSH", 3000)
+    known = suffixtree.hot_contexts(suffixtree.learning_rows(frame, "doc_id", "text", 7, 2), hot, 1)
+    assert len(known["word"]["name"]) and (len(known["pair"]["name"]) and len(known["word"]["after"]) or hot > 0.1)
+    plain = Plain([words(t) for i, t in data if not held_out(i)])
+    texts = dict(data)
+    for r in suffixtree.scored(frame, hot=hot, hot_least=1).collect():
+        assert r["score"] == pytest.approx(plain.score(words(texts[r["doc_id"]])), rel=1e-6)
+
+
 def test_buckets_do_not_matter(spark, monkeypatch):
     data = spark.createDataFrame(chained(60), "doc_id long, text string")
     first = {r["doc_id"]: r["score"] for r in suffixtree.scored(data).collect()}
